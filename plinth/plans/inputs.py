@@ -1,0 +1,110 @@
+"""Inputs derived from the given tables, in SQL that Spark and the checking engine both read.
+
+Every derived table uses all rows of the tables it comes from; remainders of keys only vary the
+content of rows, they never drop any.
+"""
+
+from plinth.plans.registry import define
+
+# One dataset per customer: its orders in key order, with a column layout that depends on the key.
+define("ds_rows", """
+SELECT 'ds-' || CAST(o_custkey AS STRING) AS asset_id,
+       CAST(o_custkey % 6 AS INT) AS layout,
+       o_orderkey,
+       CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS row_ix,
+       CAST(CAST(o_orderdate AS DATE) AS STRING) AS c_date,
+       CASE WHEN o_orderkey % 5 = 0
+            THEN replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), '.', ',')
+            ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) END AS c_price,
+       CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE ' ' || o_orderstatus || ' ' END AS c_status,
+       o_orderpriority AS c_priority,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'TRUE' ELSE 'false' END AS c_flag,
+       CAST(o_orderkey % 41 AS STRING) AS c_share,
+       CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS STRING) ELSE '00' || CAST(o_orderkey AS STRING) END AS c_mixed
+FROM {orders}
+""")
+
+define("ds_heads", """
+SELECT DISTINCT 'ds-' || CAST(o_custkey AS STRING) AS asset_id, CAST(o_custkey % 6 AS INT) AS layout FROM {orders}
+""")
+
+define("dataset_cells", """
+SELECT asset_id, row_ix, CAST(item_ix AS INT) AS col_ix, item AS raw FROM (
+  SELECT asset_id, 0 AS row_ix, layout, @LIST(
+    CASE layout WHEN 0 THEN ' Month ' WHEN 1 THEN 'Priority' WHEN 2 THEN 'Price' WHEN 3 THEN 'Priority' WHEN 4 THEN 'Date' ELSE 'Status' END;
+    CASE layout WHEN 0 THEN 'Total price' WHEN 1 THEN 'Share %' WHEN 2 THEN 'Qty' WHEN 3 THEN 'Price' WHEN 4 THEN 'Status' ELSE 'Flag' END;
+    CASE layout WHEN 4 THEN '' ELSE 'Mixed' END;
+    'Status'; 'Status 2'; 'Status_2')@
+  FROM {ds_heads}
+  UNION ALL
+  SELECT asset_id, row_ix, layout, @LIST(
+    CASE layout WHEN 0 THEN c_date WHEN 1 THEN c_priority WHEN 2 THEN c_price WHEN 3 THEN c_priority WHEN 4 THEN c_date ELSE c_status END;
+    CASE layout WHEN 0 THEN c_price WHEN 1 THEN c_share WHEN 2 THEN c_share WHEN 3 THEN c_price WHEN 4 THEN c_status ELSE c_flag END;
+    CASE layout WHEN 4 THEN c_priority ELSE c_mixed END;
+    c_flag; c_price; c_share)@
+  FROM {ds_rows}
+) lists
+WHERE item_ix < CASE layout WHEN 4 THEN 6 WHEN 5 THEN 3 ELSE 2 END
+""")
+
+# The same cells with blank rows and missing trailing cells, as a reader may deliver them.
+define("dataset_raw", """
+SELECT c.asset_id, c.row_ix, c.col_ix,
+       CASE WHEN r.o_orderkey % 13 = 0 THEN '' WHEN r.o_orderkey % 17 = 0 AND c.col_ix > 0 THEN NULL ELSE c.raw END AS raw
+FROM {dataset_cells} c LEFT JOIN {ds_rows} r ON c.asset_id = r.asset_id AND c.row_ix = r.row_ix
+WHERE c.col_ix = 0 OR r.o_orderkey IS NULL OR r.o_orderkey % 19 <> 0
+""")
+
+define("assets", """
+SELECT 'r' || CAST(c_nationkey AS STRING) AS request_id,
+       'ds-' || CAST(c_custkey AS STRING) AS asset_id,
+       c_custkey AS asset_ix,
+       'dataset' AS kind,
+       c_mktsegment || ' orders / ' || c_name AS title,
+       CASE c_custkey % 10 WHEN 7 THEN 'none' WHEN 8 THEN 'force' WHEN 9 THEN 'force' ELSE 'auto' END AS hint_mode,
+       CASE c_custkey % 10 WHEN 8 THEN 'chart' WHEN 9 THEN CASE WHEN c_custkey % 4 = 1 THEN 'diagram' ELSE 'table' END
+            WHEN 7 THEN CASE WHEN c_custkey % 3 = 0 THEN 'table' END END AS hint_kind,
+       CASE c_custkey % 10 WHEN 8 THEN CASE c_custkey % 4 WHEN 0 THEN 'pie' WHEN 2 THEN 'sankey' ELSE 'area' END END AS hint_subtype,
+       'extracted' AS provenance,
+       CAST(CASE WHEN c_custkey % 3 = 0 THEN 4 + c_custkey % 5 END AS INT) AS max_items,
+       CAST(CASE WHEN c_custkey % 2 = 0 THEN 3 + c_custkey % 7 END AS INT) AS max_rows,
+       CAST(CASE WHEN c_custkey % 5 < 3 THEN 1 + c_custkey % 4 END AS INT) AS max_columns,
+       CAST(NULL AS STRING) AS diagram_type
+FROM {customer}
+WHERE c_custkey IN (SELECT o_custkey FROM {orders})
+""")
+
+# Diagrams: one per order, its lines as nodes. Parents form trees; some point at themselves in a ring.
+define("diagram_rows", """
+SELECT 'dg-' || CAST(l_orderkey AS STRING) AS asset_id, l_orderkey,
+       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT) AS node_ix,
+       count(*) OVER (PARTITION BY l_orderkey) AS n_nodes,
+       l_partkey, l_suppkey, l_shipdate
+FROM {lineitem}
+""")
+define("diagram_nodes", """
+SELECT asset_id, node_ix, 'n' || CAST(node_ix AS STRING) AS id, 'Part ' || CAST(l_partkey AS STRING) AS label,
+       CASE WHEN l_orderkey % 7 = 3 THEN 'n' || CAST((node_ix + 1) % n_nodes AS STRING)
+            WHEN l_orderkey % 7 = 4 AND node_ix = 1 THEN 'ghost'
+            WHEN node_ix = 0 THEN NULL
+            WHEN l_orderkey % 2 = 0 THEN 'n' || CAST(node_ix - 1 AS STRING)
+            ELSE 'n' || CAST((node_ix - node_ix % 2) / 2 AS INT) END AS parent_id
+FROM {diagram_rows}
+""".replace("'n' || CAST((node_ix - node_ix % 2) / 2 AS INT)", "'n' || CAST(CAST((node_ix - node_ix % 2) / 2 AS INT) AS STRING)"))
+define("diagram_order", """
+SELECT asset_id, CAST(n_nodes - 1 - node_ix AS INT) AS order_ix,
+       'n' || CAST(CASE WHEN l_orderkey % 9 = 2 AND node_ix = 1 THEN 0 ELSE node_ix END AS STRING) AS id
+FROM {diagram_rows} WHERE l_orderkey % 3 = 0
+""")
+define("diagram_edges", """
+SELECT asset_id, 'n' || CAST(node_ix AS STRING) AS source,
+       'n' || CAST(CASE WHEN l_orderkey % 11 = 5 AND node_ix = 2 THEN 99 ELSE (node_ix + 2) % n_nodes END AS STRING) AS target
+FROM {diagram_rows} WHERE l_orderkey % 4 = 0
+""")
+define("diagram_assets", """
+SELECT 'r' || CAST(o_custkey AS STRING) AS request_id, 'dg-' || CAST(o_orderkey AS STRING) AS asset_id, 'diagram' AS kind,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'force' ELSE 'auto' END AS hint_mode,
+       CASE WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'diagram' ELSE 'table' END END AS hint_kind,
+       CAST(CASE WHEN o_orderkey % 2 = 0 THEN 2 END AS INT) AS max_items
+FROM {orders} WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem})
+""")
