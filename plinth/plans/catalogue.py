@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plinth.plans import inputs, registry, tables  # noqa: F401
+from plinth.plans import inputs, registry, tables, textual  # noqa: F401
 
 
 def queries():
@@ -10,4 +10,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(registry.ORACLES)
+    return {name: registry.expand(sql) for name, sql in registry.ORACLES.items()}

@@ -108,3 +108,30 @@ SELECT 'r' || CAST(o_custkey AS STRING) AS request_id, 'dg-' || CAST(o_orderkey
        CAST(CASE WHEN o_orderkey % 2 = 0 THEN 2 END AS INT) AS max_items
 FROM {orders} WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem})
 """)
+
+# Requests: one per document. Sentences become paragraphs and clauses become list items.
+define("requests", """
+SELECT 'q' || CAST(doc_id AS STRING) AS request_id, doc_id,
+       'Report on ' || source || '. Use dataset: "ds-' || CAST(doc_id % 400 AS STRING) || '" as a ' ||
+       CASE doc_id % 5 WHEN 0 THEN 'donut' WHEN 1 THEN 'table' WHEN 2 THEN 'trend' WHEN 3 THEN 'кольцевая диаграмма' ELSE 'bar chart' END ||
+       chr(10) || 'таблицы sales_' || source || ' and photo_' || CAST(doc_id AS STRING) || '.png, (logo-' || lang || '.JPG) dataset id = ds-' ||
+       CAST(doc_id + 1 AS STRING) AS brief,
+       '# ' || source || chr(10) || chr(10) || '   ## ' || lang || '  ' || chr(10) || chr(10) ||
+       replace(replace(replace(text, '. ', '.' || chr(10) || chr(10)), ', ', chr(10) || '- '), '! ', chr(10) || '2) ') ||
+       chr(10) || 'Total 12 345 chars; ' || CAST(n_chars AS STRING) || ' (+' || CAST(doc_id % 100 AS STRING) || ',50 %)' || chr(10) ||
+       'Anna ' || CAST(doc_id % 7 AS STRING) || ' has experience: ' || source || '. responsible for ' || lang AS content_package,
+       CAST(1 + doc_id % 3 AS INT) AS slide_min, CAST(3 + doc_id % 9 AS INT) AS slide_max
+FROM {documents}
+""")
+define("request_assets", """
+SELECT request_id, doc_id AS asset_ix, 'ds-' || CAST(doc_id % 300 AS STRING) AS asset_id, '{"id":' || CAST(doc_id AS STRING) || '}' AS json,
+       brief AS title
+FROM {requests}
+""".replace("'{\"id\":' || CAST(doc_id AS STRING) || '}'", "'[' || CAST(doc_id AS STRING) || ']'"))
+define("request_images", """
+SELECT request_id, CAST(0 AS INT) AS image_ix, 'image:' || CAST(doc_id AS STRING) AS id,
+       'Photo_' || CAST(doc_id - doc_id % 2 AS STRING) || '.PNG' AS original_name, 'store/' || request_id || '/a' || CAST(doc_id AS STRING) || '.png' AS asset_ref
+FROM {requests}
+UNION ALL
+SELECT request_id, 1, 'image:x' || CAST(doc_id AS STRING), 'up/logo-en.jpg', 'store/b' || CAST(doc_id AS STRING) || '.jpg' FROM {requests}
+""")
