@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plinth.plans import inputs, registry, tables, textual  # noqa: F401
+from plinth.plans import inputs, registry, slides, tables, textual  # noqa: F401
 
 
 def queries():

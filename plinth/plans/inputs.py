@@ -135,3 +135,46 @@ FROM {requests}
 UNION ALL
 SELECT request_id, 1, 'image:x' || CAST(doc_id AS STRING), 'up/logo-en.jpg', 'store/b' || CAST(doc_id AS STRING) || '.jpg' FROM {requests}
 """)
+
+# Slides: one per part, its lines as shapes; twenty slides make a deck. Five arrangements.
+_SLIDE_CLASSES = ["cover", "agenda", "section", "content_text", "content_visual", "comparison", "process", "timeline",
+                  "metrics", "table", "chart", "quote", "profile", "closing", "other"]
+_CLASS_CASE = "CASE (p_partkey * 7) % 15 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_SLIDE_CLASSES)) + " END"
+define("slides", f"""
+SELECT 'k' || CAST(CAST((p_partkey - p_partkey % 20) / 20 AS INT) AS STRING) AS deck_id, CAST(p_partkey % 20 + 1 AS INT) AS slide_number, p_partkey,
+       CASE WHEN p_partkey % 13 = 5 THEN NULL ELSE {_CLASS_CASE} END AS classification,
+       CASE WHEN p_partkey % 11 <> 3 THEN p_name || ' ' || CASE p_partkey % 4 WHEN 0 THEN 'line chart' WHEN 1 THEN 'Donut' WHEN 2 THEN 'barometer' ELSE 'plain' END END AS description,
+       p_brand AS font, p_type AS colour
+FROM {{part}}
+""")
+define("shape_rows", """
+SELECT l_partkey, CAST(l_partkey % 5 AS INT) AS layout,
+       CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) - 1 AS INT) AS ix,
+       l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_linestatus
+FROM {lineitem}
+""")
+define("shape_grid", """
+SELECT *, CAST(floor((ix - CASE WHEN layout = 0 THEN 1 ELSE 0 END) / 3.0) AS INT) AS by_three, CAST(floor(ix / 2.0) AS INT) AS by_two,
+       CASE WHEN layout = 3 AND l_linenumber % 4 = 0 THEN 'image' WHEN layout = 3 AND l_linenumber = 5 THEN 'chart' WHEN layout = 3 AND l_linenumber = 6 THEN 'table'
+            WHEN layout = 4 AND ix % 9 IN (0, 5) THEN 'image' WHEN layout = 0 AND ix = 0 THEN 'image' WHEN layout IN (1, 2) AND ix % 23 = 22 THEN 'image' ELSE 'text' END AS type
+FROM {shape_rows}
+""")
+define("shapes", """
+SELECT 'k' || CAST(CAST((l_partkey - l_partkey % 20) / 20 AS INT) AS STRING) AS deck_id, CAST(l_partkey % 20 + 1 AS INT) AS slide_number,
+       l_partkey, layout, ix, ix + 1 AS shape_id, type, l_returnflag, l_linestatus, l_orderkey,
+       CAST(CASE layout WHEN 0 THEN CASE WHEN ix = 0 THEN 50 ELSE 50 + 250 * ((ix + 2) % 3) END WHEN 1 THEN 20 + 60 * (by_two % 15) WHEN 2 THEN 100 + 300 * (ix % 3) WHEN 3 THEN (l_orderkey * 37) % 880
+                 ELSE CASE WHEN ix = 0 THEN 50 ELSE (l_orderkey * 41) % 900 END END AS DOUBLE) / 1000 AS x,
+       CAST(CASE layout WHEN 0 THEN CASE WHEN ix = 0 THEN 115 ELSE 100 + 50 * (by_three % 16) END WHEN 1 THEN 300 + 200 * (ix % 2) WHEN 2 THEN 50 + 50 * (by_three % 18) + 17 * (ix % 3)
+                 WHEN 3 THEN (l_suppkey * 53 + l_orderkey) % 940 ELSE CASE WHEN ix = 0 THEN 300 WHEN ix = 1 THEN 60 ELSE (l_suppkey * 67 + l_orderkey) % 950 END END AS DOUBLE) / 1000 AS y,
+       CAST(CASE layout WHEN 0 THEN CASE WHEN type = 'image' THEN 700 ELSE 200 END WHEN 1 THEN 50 WHEN 2 THEN 200
+                 WHEN 3 THEN CASE WHEN type = 'image' THEN 300 ELSE 80 END ELSE CASE WHEN ix = 0 THEN 900 ELSE 60 END END AS DOUBLE) / 1000 AS width,
+       CAST(CASE layout WHEN 0 THEN CASE WHEN type = 'image' THEN 5 ELSE 30 END WHEN 1 THEN 40 WHEN 2 THEN 30
+                 WHEN 3 THEN CASE WHEN type = 'image' THEN 250 ELSE 40 END ELSE CASE WHEN ix = 0 THEN 600 WHEN ix % 9 = 5 THEN 10 ELSE 40 END END AS DOUBLE) / 1000 AS height,
+       CASE WHEN layout = 4 AND ix = 1 THEN 'title' WHEN layout = 3 AND ix = 1 THEN 'center_title' WHEN ix % 10 = 7 THEN 'body' END AS placeholder_type,
+       CASE WHEN ix % 12 = 11 THEN 'Company Logo' WHEN layout = 3 AND ix % 6 = 4 THEN 'presd:visual:chart, table' WHEN ix % 17 = 3 THEN 'presd:visual' ELSE 'Box ' || CAST(ix AS STRING) END AS name,
+       CASE WHEN ix % 19 = 6 THEN 'brand mark' END AS alt_text,
+       CASE WHEN type <> 'text' THEN NULL WHEN ix % 8 = 5 THEN ' Insert  Text: ' WHEN layout = 2 THEN CASE ix % 3 WHEN 0 THEN 'Name' WHEN 1 THEN 'Role' ELSE 'Bio' END
+            ELSE 'Text ' || l_returnflag || CAST(ix AS STRING) END AS text,
+       (layout = 3 AND ix % 7 = 2) AS in_group
+FROM {shape_grid}
+""")

@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plinth.session import cut_lineage
+
 GIVEN = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -42,6 +44,13 @@ class Tables:
                 self._seen[name] = self.sql(INPUTS[name])
         return self._seen[name]
 
+    def stored(self, name: str) -> DataFrame:
+        """A derived table written out once, as the table an operator would be given."""
+        key = f"stored {name}"
+        if key not in self._seen:
+            self._seen[key] = cut_lineage(self(name))
+        return self._seen[key]
+
     def sql(self, text: str) -> DataFrame:
         needed = {name: self(name) for name in set(_NAME.findall(text))}
         return self.spark.sql(spark_text(text), **needed)
