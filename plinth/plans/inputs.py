@@ -178,3 +178,54 @@ SELECT 'k' || CAST(CAST((l_partkey - l_partkey % 20) / 20 AS INT) AS STRING) AS
        (layout = 3 AND ix % 7 = 2) AS in_group
 FROM {shape_grid}
 """)
+
+# Jobs: one per order; their events: one per line, with ids that grow within a job.
+define("jobs", """
+SELECT 'j' || CAST(o_orderkey AS STRING) AS id, 'u' || CAST(o_custkey % 23 AS STRING) AS owner_id, 't' || CAST(o_custkey AS STRING) AS template_id,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'template_analysis' ELSE 'generation' END AS type,
+       CASE o_orderkey % 7 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'processing' WHEN 3 THEN 'failed' WHEN 4 THEN 'canceled' ELSE 'ready' END AS status,
+       CASE o_orderkey % 5 WHEN 0 THEN 'validating' WHEN 1 THEN 'enriching_visuals' WHEN 2 THEN 'building_catalog' ELSE 'generating_slides' END AS stage,
+       CAST(o_orderkey % 100 AS INT) AS progress, o_orderdate AS created_at, CAST(o_orderkey % 4 - 2 AS INT) AS system_resume_count,
+       CASE o_orderkey % 6 WHEN 0 THEN '["slow model"]' WHEN 1 THEN '[`code`:`system_resume`,`path`:``]' WHEN 2 THEN '["a", [`code`:`number_not_grounded`,`path`:`x`]]' ELSE '[]' END AS raw_warnings,
+       CASE WHEN o_orderkey % 8 < 5 THEN 'm/base-' || CAST(o_orderkey % 4 AS STRING) END AS pinned_model,
+       CASE o_orderkey % 9 WHEN 0 THEN 'needs_review' WHEN 1 THEN NULL ELSE 'passed' END AS plan_status,
+       CASE o_orderkey % 10 WHEN 0 THEN 'fallback' WHEN 1 THEN 'primary' WHEN 2 THEN 'other' END AS plan_kind,
+       CASE WHEN o_orderkey % 12 = 2 THEN 'Used FALLBACK layout' WHEN o_orderkey % 12 = 5 THEN 'Упрощённый вид' ELSE 'fine' END AS plan_warning,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'qa/' || CAST(o_orderkey AS STRING) END AS qa_path, CAST(CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 11 END AS INT) AS n_previews
+FROM {orders}
+""")
+define("job_events", """
+SELECT job_id, id, stage, CAST(id % 90 AS INT) AS progress, CAST(CASE WHEN l_linenumber > 2 THEN l_linenumber END AS INT) AS done,
+       CAST(CASE WHEN l_linenumber > 2 THEN l_linenumber + l_suppkey % 5 END AS INT) AS total, created_at
+FROM (
+  SELECT 'j' || CAST(l_orderkey AS STRING) AS job_id, l_linenumber, l_suppkey, l_shipdate AS created_at,
+         l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id,
+         CASE (l_partkey + l_linenumber) % 12 WHEN 0 THEN 'ready' WHEN 1 THEN 'failed' WHEN 2 THEN 'canceled' WHEN 3 THEN 'resuming' WHEN 4 THEN 'enriching_visuals'
+              WHEN 5 THEN 'enriching_visuals' WHEN 6 THEN 'content_analysis' ELSE 'generating_slides' END AS stage
+  FROM {lineitem}) e
+""")
+define("templates", """
+SELECT 't' || CAST(c_custkey AS STRING) AS id, 'u' || CAST(c_custkey % 23 AS STRING) AS owner_id, 's' || CAST(c_custkey AS STRING) AS sha256, c_name AS name,
+       CASE c_custkey % 6 WHEN 0 THEN 'deleted' WHEN 1 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'ready' END AS status,
+       CASE WHEN c_custkey % 4 <> 3 THEN 'm/base-' || CAST(c_custkey % 4 AS STRING) END AS model_path
+FROM {customer}
+""")
+define("uploads", """
+SELECT o_orderkey AS upload_ix, 'u' || CAST(o_custkey % 23 AS STRING) AS owner_id,
+       's' || CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey * 2 ELSE o_custkey END AS STRING) AS sha256, 'up' || CAST(o_orderkey AS STRING) AS name
+FROM {orders}
+""")
+define("job_pages", """
+SELECT 'u' || CAST(c_custkey % 23 AS STRING) AS owner_id, max(CASE WHEN c_custkey % 2 = 0 THEN 'j' || CAST(c_custkey * 3 + 1 AS STRING) END) AS cursor,
+       CAST(max(c_custkey % 70) AS INT) AS "limit" FROM {customer} GROUP BY 'u' || CAST(c_custkey % 23 AS STRING)
+""".replace('"limit"', "page_limit"))
+define("call_log", """
+SELECT ts, 'INFO llm_call job=' || CASE WHEN user_id % 5 = 0 THEN '-' ELSE 'j' || CAST(user_id AS STRING) END || ' stage=' || event_type || ' attempt=' || CAST(1 + event_id % 2 AS STRING) ||
+       ' latency=' || CAST(CAST(value AS DECIMAL(18,3)) AS STRING) || ' response_id=- output_tokens=' || CASE WHEN event_id % 4 = 0 THEN 'None' ELSE CAST(event_id % 900 AS STRING) END ||
+       ' usage=null outcome=' || CASE WHEN event_type = 'error' THEN 'error error_category=server' ELSE 'success error_category=none' END AS value
+FROM {events}
+""")
+define("soak_runs", """
+SELECT event_type AS batch, event_id AS run, value AS seconds, CAST(event_id % 33 AS INT) AS llm_calls, user_id % 40 = 0 AS fallback,
+       CAST(CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS INT) AS n_errors, event_id % 77 <> 0 AS slides_match FROM {events}
+""")
