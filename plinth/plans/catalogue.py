@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plinth.plans import inputs, jobs, registry, slides, tables, textual  # noqa: F401
+from plinth.plans import catalogs, inputs, jobs, registry, slides, tables, textual  # noqa: F401
 
 
 def queries():

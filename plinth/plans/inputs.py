@@ -229,3 +229,56 @@ define("soak_runs", """
 SELECT event_type AS batch, event_id AS run, value AS seconds, CAST(event_id % 33 AS INT) AS llm_calls, user_id % 40 = 0 AS fallback,
        CAST(CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS INT) AS n_errors, event_id % 77 <> 0 AS slides_match FROM {events}
 """)
+
+# Catalog inputs: slots over shapes and over one structure per slide of the first two arrangements.
+define("cat_specs", """
+SELECT deck_id, slide_number, ix AS slot_ix,
+       CASE WHEN ix = 4 THEN 'visual' WHEN ix = 8 THEN 'fallback_title' WHEN ix = 9 THEN 'fallback_text' WHEN ix = 12 THEN 'visual_3' ELSE 's' || CAST(ix AS STRING) END AS slot_id,
+       CASE type WHEN 'image' THEN CASE WHEN ix % 7 = 3 THEN 'text' ELSE 'image' END WHEN 'text' THEN CASE WHEN l_linestatus = 'O' THEN 'text' ELSE 'bullet_list' END ELSE 'visual' END AS kind,
+       CASE WHEN type = 'image' THEN CASE WHEN ix % 2 = 0 THEN 'Main visual' ELSE 'photo' END WHEN ix = 1 THEN 'Slide title' ELSE 'body text' END AS role,
+       'shape' AS target_type, CASE WHEN ix % 37 = 33 THEN 900 ELSE shape_id END AS shape_id, CAST(NULL AS STRING) AS structure_id, CAST(NULL AS STRING) AS structure_kind,
+       ix % 3 = 0 AS required, CAST(CASE WHEN ix % 4 = 0 THEN 40 END AS INT) AS max_chars
+FROM {shapes} WHERE layout >= 2 AND l_returnflag <> 'R'
+UNION ALL
+SELECT deck_id, slide_number, 900, 'structured',
+       CASE p_partkey % 7 WHEN 0 THEN 'table' WHEN 1 THEN 'cards' WHEN 2 THEN 'profiles' WHEN 3 THEN 'text' WHEN 4 THEN 'bullet_list' WHEN 5 THEN 'metrics' ELSE 'image' END,
+       'structured body', 'structure', NULL,
+       CASE p_partkey % 5 WHEN 0 THEN 'grid_0' WHEN 1 THEN 'repeat_0' WHEN 3 THEN 'static_visual_0' ELSE 'ghost_0' END,
+       CASE p_partkey % 5 WHEN 0 THEN 'grid' WHEN 1 THEN 'repeat' WHEN 3 THEN 'static_visual' END, TRUE, NULL
+FROM {slides}
+""")
+define("cat_roles", """
+SELECT deck_id, slide_number, 'structured' AS slot_id,
+       CASE WHEN p_partkey % 8 = 3 THEN CASE item_ix WHEN 0 THEN 'title' ELSE 'body' END ELSE 'field_' || CAST(item_ix AS STRING) END AS field_id,
+       CASE WHEN p_partkey % 8 = 3 THEN 'field_' || CAST(item_ix AS STRING) WHEN p_partkey % 8 = 5 THEN 'title' WHEN p_partkey % 7 = 2 THEN CASE item_ix WHEN 0 THEN 'name' ELSE 'details' END ELSE item END AS role
+FROM (SELECT deck_id, slide_number, p_partkey, @LIST('title'; 'body')@ FROM {slides} WHERE p_partkey % 5 < 2) r
+""")
+define("cat_fields", """
+SELECT deck_id, slide_number, 'repeat_0' AS structure_id, CAST(item_ix AS INT) AS field_ix, item AS field_id
+FROM (SELECT deck_id, slide_number, @LIST('field_0'; 'field_1')@ FROM {slides} WHERE p_partkey % 5 = 1) f
+""")
+define("cat_members", """
+SELECT deck_id, slide_number, CASE layout WHEN 0 THEN 'grid_0' ELSE 'repeat_0' END AS structure_id, CASE layout WHEN 0 THEN 'grid' ELSE 'repeat' END AS kind, 1 AS header_rows, shape_id,
+       CASE WHEN type = 'text' THEN 'content' ELSE 'decoration' END AS role,
+       CASE WHEN layout = 0 AND type = 'text' THEN CAST(floor((ix - 1) / 3.0) AS INT) END AS row, CASE WHEN layout = 0 AND type = 'text' THEN CAST((ix + 2) % 3 AS INT) END AS col,
+       CASE WHEN layout = 1 THEN 'field_' || CAST(ix % 2 AS STRING) END AS field_id, CASE WHEN layout = 1 THEN CAST(floor(ix / 2.0) AS INT) END AS item_ix
+FROM {shapes} WHERE layout < 2
+""")
+define("cat_owned", "SELECT deck_id, slide_number, slot_id, shape_id FROM {cat_specs} WHERE target_type = 'shape'")
+define("cat_structural", "SELECT DISTINCT deck_id, slide_number, shape_id FROM {cat_members}")
+define("cat_families", """
+SELECT deck_id, CAST(p_partkey % 6 AS INT) AS family_ix, CASE WHEN p_partkey % 6 = 5 THEN 'fam4' WHEN p_partkey % 6 = 3 THEN 'fam2_cover' ELSE 'fam' || CAST(p_partkey % 6 AS STRING) END AS family_id,
+       slide_number, slide_number AS place, coalesce(classification, 'other') AS classification
+FROM {slides}
+""")
+define("cat_groups", """
+SELECT deck_id, family_ix, family_id, CASE WHEN place % 19 = 7 THEN 77 ELSE slide_number END AS slide_number FROM {cat_families}
+UNION ALL SELECT deck_id, 0, 'fam0', slide_number FROM {cat_families} WHERE classification = 'quote'
+""")
+define("cat_canvases", """
+SELECT deck_id, slide_number, family_ix, CAST(0 AS INT) AS slot_ix, CAST(30 AS DOUBLE) / 1000 AS x, CAST(220 + (p_partkey * 31) % 600 AS DOUBLE) / 1000 AS y,
+       CAST(CASE WHEN p_partkey % 14 = 9 THEN 990 ELSE 940 END AS DOUBLE) / 1000 AS width, CAST(680 - (p_partkey * 31) % 600 AS DOUBLE) / 1000 AS height,
+       CASE p_partkey % 7 WHEN 0 THEN 'bar' WHEN 1 THEN 'donut' WHEN 2 THEN 'column' WHEN 3 THEN 'scatter' WHEN 4 THEN 'pie' WHEN 5 THEN 'line' ELSE 'area' END AS preferred
+FROM (SELECT s.*, f.family_ix FROM {slides} s JOIN {cat_families} f ON f.deck_id = s.deck_id AND f.slide_number = s.slide_number) j
+WHERE classification IN ('chart', 'content_visual', 'metrics', 'comparison')
+""")
