@@ -139,7 +139,7 @@ SELECT request_id, 1, 'image:x' || CAST(doc_id AS STRING), 'up/logo-en.jpg', 'st
 # Slides: one per part, its lines as shapes; twenty slides make a deck. Five arrangements.
 _SLIDE_CLASSES = ["cover", "agenda", "section", "content_text", "content_visual", "comparison", "process", "timeline",
                   "metrics", "table", "chart", "quote", "profile", "closing", "other"]
-_CLASS_CASE = "CASE (p_partkey * 7) % 15 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_SLIDE_CLASSES)) + " END"
+_CLASS_CASE = "CASE CAST(p_partkey * 7 + floor(p_partkey / 15.0) AS BIGINT) % 15 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_SLIDE_CLASSES)) + " END"
 define("slides", f"""
 SELECT 'k' || CAST(CAST((p_partkey - p_partkey % 20) / 20 AS INT) AS STRING) AS deck_id, CAST(p_partkey % 20 + 1 AS INT) AS slide_number, p_partkey,
        CASE WHEN p_partkey % 13 = 5 THEN NULL ELSE {_CLASS_CASE} END AS classification,
@@ -282,3 +282,49 @@ SELECT deck_id, slide_number, family_ix, CAST(0 AS INT) AS slot_ix, CAST(30 AS D
 FROM (SELECT s.*, f.family_ix FROM {slides} s JOIN {cat_families} f ON f.deck_id = s.deck_id AND f.slide_number = s.slide_number) j
 WHERE classification IN ('chart', 'content_visual', 'metrics', 'comparison')
 """)
+
+# Plans: one per customer, its orders as slides, their lines as assignments.
+define("pl_slides", """
+SELECT 'r' || CAST(o_custkey AS STRING) AS request_id, 'k' || CAST(o_custkey % 10 AS STRING) AS deck_id, o_orderkey,
+       CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS number,
+       CASE o_orderkey % 14 WHEN 0 THEN 'cover' WHEN 1 THEN 'text' WHEN 2 THEN 'bullets' WHEN 3 THEN 'cards' WHEN 4 THEN 'profiles' WHEN 5 THEN 'metrics' WHEN 6 THEN 'table' WHEN 7 THEN 'chart'
+            WHEN 8 THEN 'diagram' WHEN 9 THEN 'pictogram_grid' WHEN 10 THEN 'process' WHEN 11 THEN 'timeline' WHEN 12 THEN 'image' ELSE 'closing' END AS content_type,
+       'Slide ' || o_orderpriority || ' ' || o_orderstatus AS purpose,
+       CASE o_orderkey % 7 WHEN 5 THEN 'fam2_cover' WHEN 6 THEN 'nofam' ELSE 'fam' || CAST(o_orderkey % 7 AS STRING) END AS template_family_id,
+       CAST(o_orderkey % 22 + 1 AS INT) AS template_slide_number,
+       CASE WHEN o_orderkey % 9 = 4 THEN 'ds-' || CAST(o_custkey AS STRING) WHEN o_orderkey % 37 = 5 THEN 'ds-none' END AS chart_asset_id
+FROM {orders}
+""")
+define("pl_assets", """
+SELECT request_id, CAST(item_ix AS INT) AS asset_ix, item AS asset_id FROM (
+  SELECT 'r' || CAST(c_custkey AS STRING) AS request_id, @LIST('ds-' || CAST(c_custkey AS STRING); 'ds-' || CAST(c_custkey + 1 AS STRING))@ FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders})) a
+WHERE item IN (SELECT asset_id FROM {assets})
+""")
+define("pl_assignments", """
+SELECT s.request_id, s.deck_id, s.number, l_orderkey,
+       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS assign_ix,
+       CASE WHEN l_partkey % 11 = 0 THEN 'slide_title' WHEN l_partkey % 13 = 1 THEN 'visual' ELSE 's' || CAST(l_partkey % 14 AS STRING) END AS slot_id,
+       CASE l_suppkey % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'bullet_list' WHEN 2 THEN 'visual' WHEN 3 THEN 'image' ELSE 'text' END AS kind,
+       CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0 THEN 'clear' WHEN l_returnflag = 'R' THEN 'keep' WHEN l_linenumber = 6 THEN 'generate' ELSE 'replace' END AS action,
+       CASE WHEN l_returnflag <> 'R' THEN CASE l_suppkey % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'bullet_list' WHEN 2 THEN 'visual' WHEN 3 THEN 'image' ELSE 'text' END END AS content_kind,
+       CASE WHEN l_returnflag <> 'R' AND l_suppkey % 5 = 2 THEN CASE WHEN l_partkey % 3 = 0 THEN 'ds-missing' ELSE 'ds-' || substr(s.request_id, 2) END END AS asset_id,
+       CASE WHEN l_returnflag <> 'R' AND l_suppkey % 5 = 2 THEN CASE WHEN l_partkey % 2 = 0 THEN 'chart' ELSE 'table' END END AS visual_kind,
+       CASE WHEN l_returnflag <> 'R' AND l_suppkey % 5 = 2 AND l_partkey % 2 = 0 THEN 'bar' END AS visual_subtype,
+       CASE WHEN l_returnflag <> 'R' AND l_suppkey % 5 IN (0, 4) THEN 'Words ' || CAST(l_partkey AS STRING) END AS text,
+       CAST(CASE WHEN l_returnflag <> 'R' AND l_suppkey % 5 = 2 THEN 1 + l_linenumber % 2 END AS INT) AS page
+FROM {lineitem} JOIN {pl_slides} s ON s.o_orderkey = l_orderkey
+""")
+define("pl_slots", """
+SELECT deck_id, slide_number, slot_ix, slot_id, CASE WHEN slot_id = 'structured' THEN 'visual' ELSE kind END AS kind, role, required, FALSE AS has_canvas,
+       CASE WHEN slot_id = 'structured' OR kind = 'visual' THEN CASE slide_number % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'chart|diagram' ELSE 'table|chart' END END AS caps,
+       CASE WHEN (slot_id = 'structured' OR kind = 'visual') AND slide_number % 3 = 1 THEN 'bar|line' END AS subs,
+       CAST(CASE WHEN slide_number % 4 = 1 THEN 5 END AS INT) AS max_items, CAST(CASE WHEN slide_number % 4 = 2 THEN 3 END AS INT) AS max_rows, CAST(CASE WHEN slide_number % 4 = 3 THEN 2 END AS INT) AS max_columns
+FROM {cat_specs}
+UNION ALL
+SELECT deck_id, slide_number, 950, 'chart_visual', 'visual', 'native chart canvas', TRUE, TRUE, 'chart', NULL, 12, NULL, NULL FROM {cat_canvases}
+""")
+define("pl_families", "SELECT deck_id, family_id, slide_number, classification AS slide_class FROM {cat_families}")
+define("pl_limits", "SELECT request_id, CAST(max(number) + 6 AS INT) AS slide_max FROM {pl_slides} GROUP BY request_id")
+define("pl_pages", """
+SELECT a.request_id, a.asset_id, CAST(1 + length(a.asset_id) * (a.asset_ix + 3) % 4 AS INT) AS n_pages, l.slide_max FROM {pl_assets} a JOIN {pl_limits} l ON l.request_id = a.request_id
+""")
