@@ -50,7 +50,7 @@ SELECT deck_id, slide_number, slot_id, CASE WHEN cards THEN 'cards' ELSE kind EN
 FROM c
 """)
 def _(t: Tables):
-    specs, roles = C.normalize_repeat_slots(t("cat_specs"), t("cat_roles"), t("cat_fields"))
+    specs, roles = C.normalize_repeat_slots(t.stored("cat_specs"), t.stored("cat_roles"), t.stored("cat_fields"))
     told = roles.groupBy(*C.SLOT).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "field_id", "role"))), "|").alias("roles"))
     return specs.select(*C.SLOT, "kind").join(told, C.SLOT, "left").withColumn("roles", F.coalesce("roles", F.lit("")))
 
@@ -83,7 +83,7 @@ UNION ALL SELECT deck_id, slide_number, NULL, 'slide_described_twice' FROM {{des
 """)
 def _(t: Tables):
     return C.validate_slot_targets(
-        t("cat_specs").drop("structure_kind"), t("cat_roles"), t("cat_fields"), t("shapes"), t("cat_structures"), t("batch_slides"), t("described_slides")
+        t.stored("cat_specs").drop("structure_kind"), t.stored("cat_roles"), t.stored("cat_fields"), t.stored("shapes"), t.stored("cat_structures"), t("batch_slides"), t("described_slides")
     )
 
 
@@ -100,7 +100,7 @@ UNION ALL SELECT s.deck_id, s.slide_number, s.slot_id, m.shape_id, 'text', '/ite
 FROM {{cat_specs}} s JOIN {{cat_members}} m ON {on("m", "s", "structure_id")} JOIN {{cat_roles}} r ON {on("r", "s", "slot_id")} AND r.field_id = m.field_id WHERE m.kind = 'repeat' AND m.role = 'content'
 """)
 def _(t: Tables):
-    bound = C.expand_bindings(t("cat_specs"), t("cat_roles"), t("shapes"), t("cat_members").drop("structure_kind"))
+    bound = C.expand_bindings(t.stored("cat_specs"), t.stored("cat_roles"), t.stored("shapes"), t.stored("cat_members").drop("structure_kind"))
     return bound.select(*C.SLOT, "shape_id", "renderer", "value_path", "mode")
 
 
@@ -118,7 +118,7 @@ SELECT deck_id, slide_number, shape_id, CASE WHEN type IN ('chart', 'table') THE
   CASE WHEN table_rows IS NOT NULL THEN greatest(1, table_rows - 1) END AS max_rows, table_columns AS max_columns FROM {cap_shapes}
 """)
 def _(t: Tables):
-    caps = C.visual_capabilities(t("cap_shapes"))
+    caps = C.visual_capabilities(t.stored("cap_shapes"))
     return caps.select(*C.SLIDE, "shape_id", F.array_join("cap_kinds", "|").alias("kinds"), F.array_join("cap_subtypes", "|").alias("subtypes"), "render_mode",
                        F.round("aspect_ratio", 6).alias("aspect_ratio"), "max_rows", "max_columns")
 
@@ -131,7 +131,7 @@ SELECT s.deck_id, s.slide_number, s.slot_id, CASE WHEN b.slot_id IS NOT NULL THE
 FROM {{cat_specs}} s LEFT JOIN b ON {on("b", "s", "slot_id")}
 """)
 def _(t: Tables):
-    return C.promote_visual_image(t("cat_specs"), t("shapes"), t("slides")).select(*C.SLOT, "kind", "required", "promoted")
+    return C.promote_visual_image(t.stored("cat_specs"), t.stored("shapes"), t("slides")).select(*C.SLOT, "kind", "required", "promoted")
 
 
 define("x_unowned", f"""
@@ -154,7 +154,7 @@ def free_names(base: str, source: str, order: str) -> str:
 SELECT r.deck_id, r.slide_number, n.nm AS slot_id, r.shape_id, CASE WHEN grp = 0 THEN type ELSE 'visual' END AS renderer FROM ranked r JOIN names n ON {on("n", "r", "rk")}
 """)
 def _(t: Tables):
-    found = C.unclaimed_visuals(t("shapes"), t("cat_specs"), t("cat_owned"), t("cat_structural"))
+    found = C.unclaimed_visuals(t.stored("shapes"), t.stored("cat_specs"), t.stored("cat_owned"), t.stored("cat_structural"))
     return found.select(*C.SLOT, "shape_id", "renderer")
 
 
@@ -167,7 +167,7 @@ UNION ALL SELECT deck_id, slide_number, CASE WHEN EXISTS (SELECT 1 FROM {{cat_sp
   CASE WHEN n > 1 THEN 'bullet_list' ELSE 'text' END, shape_id, CASE WHEN n > 1 THEN '/items/' || i ELSE '/text' END, CASE WHEN n > 1 THEN n END FROM g
 """)
 def _(t: Tables):
-    return C.fallback_slots(t("shapes"), t("cat_specs"), t("cat_owned"), t("cat_structural"))
+    return C.fallback_slots(t.stored("shapes"), t.stored("cat_specs"), t.stored("cat_owned"), t.stored("cat_structural"))
 
 
 define("x_titles", f"""
@@ -189,8 +189,8 @@ FROM {{x_canvas}} c
 """)
 def _(t: Tables):
     slides = t("slides").withColumn("tags", F.array().cast("array<string>")).withColumn("chart_text", F.lit(""))
-    slots = t("cat_specs").select(*C.SLOT, "kind", "role")
-    canvases, kept = C.synthesize_chart_canvas(slides, slots, t("cat_owned"), t("shapes"))
+    slots = t.stored("cat_specs").select(*C.SLOT, "kind", "role")
+    canvases, kept = C.synthesize_chart_canvas(slides, slots, t.stored("cat_owned"), t.stored("shapes"))
     listed = kept.groupBy(*C.SLIDE).agg(F.array_join(F.array_sort(F.collect_list("shape_id")).cast("array<string>"), "|").alias("preserved"))
     return canvases.join(listed, C.SLIDE).select(*C.SLIDE, F.round("y", 6).alias("y"), F.round("height", 6).alias("height"), "required", F.array_join("preferred_subtypes", "|").alias("preferred"), "preserved")
 
@@ -203,7 +203,7 @@ QUALIFY row_number() OVER (PARTITION BY deck_id, subtype ORDER BY CASE WHEN pref
 
 
 def canvases_of(t: Tables):
-    return t("cat_canvases").withColumn("preferred_subtypes", F.array("preferred"))
+    return t.stored("cat_canvases").withColumn("preferred_subtypes", F.array("preferred"))
 
 
 @query("select_chart_canvas", SELECT_CANVAS)
@@ -232,8 +232,8 @@ SELECT deck_id, rn, family_ix, classification, name, list_append(used, name) FRO
 SELECT f.deck_id, f.slide_number, f.classification, n.name AS family_id FROM {cat_families} f JOIN {x_named} n ON n.deck_id = f.deck_id AND n.family_ix = f.family_ix AND n.classification = f.classification AND n.rn > 0
 """)
 def _(t: Tables):
-    groups = t("cat_families").drop("classification")
-    return C.split_mixed_families(groups, t("cat_families").select(*C.SLIDE, "classification"))
+    groups = t.stored("cat_families").drop("classification")
+    return C.split_mixed_families(groups, t.stored("cat_families").select(*C.SLIDE, "classification"))
 
 
 @query("validate_grouping", f"""
@@ -243,7 +243,7 @@ FROM {{slides}} s FULL OUTER JOIN (SELECT deck_id, slide_number, count(*) AS n F
 UNION ALL SELECT deck_id, 'duplicate_family_id', family_id FROM (SELECT DISTINCT deck_id, family_ix, family_id FROM {{cat_groups}}) d GROUP BY deck_id, family_id HAVING count(*) > 1
 """)
 def _(t: Tables):
-    return C.validate_grouping(t("cat_groups"), t("slides"))
+    return C.validate_grouping(t.stored("cat_groups"), t("slides"))
 
 
 define("cat_bindings", "SELECT deck_id, slide_number, slot_id, CASE WHEN shape_id % 23 = 5 THEN shape_id + 1 ELSE shape_id END AS shape_id FROM {cat_owned} UNION ALL SELECT deck_id, slide_number, slot_id, shape_id FROM {cat_owned} WHERE slot_id = 's7'")
@@ -274,7 +274,7 @@ UNION SELECT s.deck_id, s.slide_number, 'canvas_with_target', s.slot_id FROM {{c
 UNION SELECT deck_id, slide_number, 'canvas_out_of_slide', NULL FROM {{cat_canvases}} WHERE x + width > 1.000001 OR y + height > 1.000001 OR width <= 0 OR height <= 0
 """)
 def _(t: Tables):
-    return C.validate_catalog(t("cat_groups"), t("cat_slots"), t("cat_targets"), t("cat_bindings"), t("cat_statics"), canvases_of(t))
+    return C.validate_catalog(t.stored("cat_groups"), t.stored("cat_slots"), t.stored("cat_targets"), t.stored("cat_bindings"), t.stored("cat_statics"), canvases_of(t))
 
 
 define("cat_variants", "SELECT deck_id, family_id, slide_number, 'v' AS description FROM {cat_families}")
@@ -289,8 +289,8 @@ UNION ALL SELECT deck_id, 'variant', CAST(slide_number AS VARCHAR), count(*) FRO
 UNION ALL SELECT deck_id, 'slot', slot_id, count(*) FROM p GROUP BY ALL
 """)
 def _(t: Tables):
-    slots = t("cat_specs").select(*C.SLOT, "kind", "role", "required", "max_chars")
-    projected = C.project_catalog(t("cat_family_rows"), t("cat_variants"), slots, t("cat_selected"))
+    slots = t.stored("cat_specs").select(*C.SLOT, "kind", "role", "required", "max_chars")
+    projected = C.project_catalog(t.stored("cat_family_rows"), t.stored("cat_variants"), slots, t.stored("cat_selected"))
     values = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in (("family", "family_id"), ("variant", "slide_number"), ("slot", "slot_id"))]))
     counted = projected.select("deck_id", values.alias("e")).groupBy("deck_id", "e.kind", "e.value").agg(F.count(F.lit(1)).alias("n"))
     return C.catalog_enums(projected).join(counted, ["deck_id", "kind", "value"])

@@ -11,6 +11,7 @@ from plinth.operators import texts as O
 from plinth.operators import visuals as V
 from plinth.plans.catalogs import SELECT_CANVAS, canvases_of, on
 from plinth.plans.registry import Tables, define, query
+from plinth.session import cut_lineage
 
 
 def choices_of(t: Tables):
@@ -18,18 +19,18 @@ def choices_of(t: Tables):
     assets = t("assets").drop("request_id", "asset_ix", "max_items", "max_rows", "max_columns")
     profile = V.column_profile(T.infer_column_types(t("dataset_cells")))
     chosen = V.choose_visual(assets.join(profile, "asset_id", "left"))
-    decks = t("pl_slides").select("request_id", "deck_id").distinct()
-    return t("pl_assets").join(chosen, "asset_id").join(decks, "request_id")
+    decks = t.stored("pl_slides").select("request_id", "deck_id").distinct()
+    return cut_lineage(t.stored("pl_assets").join(chosen, "asset_id").join(decks, "request_id"))
 
 
 def slots_of(t: Tables):
     split = [F.split(c, r"\|").alias(a) for c, a in (("caps", "cap_kinds"), ("subs", "cap_subtypes"))]
-    return t("pl_slots").select("*", *split).drop("caps", "subs")
+    return t.stored("pl_slots").select("*", *split).drop("caps", "subs")
 
 
 def canvas_choice_of(t: Tables):
     best = C.select_chart_canvas(canvases_of(t))
-    return best.join(t("pl_families").drop("slide_class"), ["deck_id", "slide_number"]).withColumn("slot_id", F.lit("chart_visual")).withColumn("max_items", F.lit(12))
+    return cut_lineage(best.join(t.stored("pl_families").drop("slide_class"), ["deck_id", "slide_number"]).withColumn("slot_id", F.lit("chart_visual")).withColumn("max_items", F.lit(12)))
 
 
 define("x_canvas_choice", SELECT_CANVAS)
@@ -61,7 +62,7 @@ UNION ALL SELECT request_id, asset_id, NULL, NULL, NULL, 'text', NULL, NULL FROM
   AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.request_id = w.request_id AND ok.asset_id = w.asset_id)
 """)
 def _(t: Tables):
-    slots = slots_of(t).filter("kind = 'visual'").join(t("pl_families").drop("slide_class"), ["deck_id", "slide_number"])
+    slots = slots_of(t).filter("kind = 'visual'").join(t.stored("pl_families").drop("slide_class"), ["deck_id", "slide_number"])
     found, lost = P.asset_guidance(choices_of(t), slots, canvas_choice_of(t))
     none = F.lit(None)
     empty = lost.select("request_id", "asset_id", none.cast("string").alias("family_id"), none.cast("int").alias("slide_number"), none.cast("string").alias("slot_id"),
@@ -85,7 +86,7 @@ WITH big AS (SELECT s.request_id FROM (SELECT request_id, count(*) AS n FROM {pl
 SELECT request_id, asset_id, number FROM one UNION ALL SELECT request_id, asset_id, number FROM two
 """)
 def _(t: Tables):
-    return P.assign_assets_to_slides(t("pl_pairs"), P.overflow_issues(t("pl_slides"), t("pl_assets")))
+    return P.assign_assets_to_slides(t.stored("pl_pairs"), P.overflow_issues(t.stored("pl_slides"), t.stored("pl_assets")))
 
 
 define("outline_types", """
@@ -126,8 +127,8 @@ SELECT w.request_id, w.number, b.family_id AS template_family_id, b.slide_number
 FROM {{pl_wanted}} w LEFT JOIN b ON b.request_id = w.request_id AND b.number = w.number
 """)
 def _(t: Tables):
-    variants = P.variant_summary(t("pl_families"), t("pl_slots"))
-    picked = P.choose_variant(t("pl_wanted"), variants, t("pl_guidance"))
+    variants = P.variant_summary(t.stored("pl_families"), t.stored("pl_slots"))
+    picked = P.choose_variant(t.stored("pl_wanted"), variants, t.stored("pl_guidance"))
     return picked.select("request_id", "number", "template_family_id", "template_slide_number", "chart_asset_id")
 
 
@@ -148,13 +149,13 @@ FROM {pl_assignments} a JOIN {x_repaired} r ON r.request_id = a.request_id AND r
 LEFT JOIN {pl_slots} s ON s.deck_id = a.deck_id AND s.slide_number = r.template_slide_number AND s.slot_id = a.slot_id AND (r.own IS NOT NULL OR r.crossed)
 """)
 def _(t: Tables):
-    slides, rows = P.expand_plan(t("pl_slides"), t("pl_assignments").drop("deck_id"), t("pl_families"), t("pl_slots"))
+    slides, rows = P.expand_plan(t.stored("pl_slides"), t.stored("pl_assignments").drop("deck_id"), t.stored("pl_families"), t.stored("pl_slots"))
     return rows.join(slides.select(*P.PLAN_SLIDE, "template_family_id", "template_class"), P.PLAN_SLIDE)
 
 
 def canonical(t: Tables):
-    slides = t("pl_slides").select("request_id", "deck_id", "number", "template_family_id", "template_slide_number", "chart_asset_id")
-    return P.canonicalize_plan(slides, t("pl_assignments").drop("deck_id", "page"), t("pl_families"), slots_of(t), choices_of(t), canvas_choice_of(t))
+    slides = t.stored("pl_slides").select("request_id", "deck_id", "number", "template_family_id", "template_slide_number", "chart_asset_id")
+    return P.canonicalize_plan(slides, t.stored("pl_assignments").drop("deck_id", "page"), t.stored("pl_families"), slots_of(t), choices_of(t), canvas_choice_of(t))
 
 
 define("x_charted", """
@@ -213,7 +214,7 @@ WITH p AS (SELECT a.request_id, a.asset_ix, a.asset_id, s.number, CASE WHEN EXIS
 SELECT request_id, asset_id, number FROM one UNION ALL SELECT request_id, asset_id, number FROM two
 """)
 def _(t: Tables):
-    return P.ground_assets(P.ground_options(t("pl_slide_texts"), t("pl_titles"), t("pl_used"), t("pl_cited")))
+    return P.ground_assets(P.ground_options(t.stored("pl_slide_texts"), t.stored("pl_titles"), t.stored("pl_used"), t.stored("pl_cited")))
 
 
 define("image_slots", """
@@ -241,8 +242,8 @@ WITH v AS (SELECT *, count(*) OVER (PARTITION BY request_id, asset_id) AS uses,
 SELECT request_id, number, slot_id, assign_ix, page, CASE WHEN later AND slot_id = first_text THEN text || ' (продолжение)' ELSE text END AS text FROM m
 """)
 def _(t: Tables):
-    slides = t("pl_slides").select(*P.PLAN_SLIDE, "chart_asset_id")
-    _, rows = P.paginate_plan(slides, t("pl_assignments").drop("deck_id", "l_orderkey"), t("pl_pages"))
+    slides = t.stored("pl_slides").select(*P.PLAN_SLIDE, "chart_asset_id")
+    _, rows = P.paginate_plan(slides, t.stored("pl_assignments").drop("deck_id", "l_orderkey"), t.stored("pl_pages"))
     return rows.select(*P.PLAN_SLIDE, "slot_id", "assign_ix", "page", "text")
 
 
@@ -260,7 +261,7 @@ SELECT a.request_id, a.number, a.slot_id, CASE WHEN k.place > k.n_pages THEN 'cl
 FROM {pl_unique} a LEFT JOIN k ON k.request_id = a.request_id AND k.number = a.number AND k.slot_id = a.slot_id
 """)
 def _(t: Tables):
-    out = P.remap_pages(t("pl_unique").drop("rn", "deck_id", "l_orderkey"), t("pl_pages"), t("pl_flags"))
+    out = P.remap_pages(t.stored("pl_unique").drop("rn", "deck_id", "l_orderkey"), t.stored("pl_pages"), t.stored("pl_flags"))
     return out.select(*P.PLAN_SLOT, "action", "asset_id", "page")
 
 
@@ -290,8 +291,8 @@ SELECT b.request_id, b.number, b.slot_id, b.shape_id, b.renderer,
 FROM b LEFT JOIN v ON v.request_id = b.request_id AND v.number = b.number AND v.slot_id = b.slot_id AND v.shape_id = b.shape_id
 """)
 def compiled(t: Tables):
-    bindings = t("pl_bindings").withColumn("value_paths", F.filter(F.array("path_one", "path_two"), lambda p: p.isNotNull()))
-    ops = P.compile_render_ops(t("pl_unique"), bindings, t("pl_values"))
+    bindings = t.stored("pl_bindings").withColumn("value_paths", F.filter(F.array("path_one", "path_two"), lambda p: p.isNotNull()))
+    ops = P.compile_render_ops(t.stored("pl_unique"), bindings, t.stored("pl_values"))
     return ops.withColumn("text", F.array_join("text", "|"))
 
 
@@ -307,6 +308,6 @@ SELECT b.request_id, sha256(concat_ws(chr(31), brief, content_package, CAST(slid
 FROM {pl_briefs} b JOIN {pl_hashes} h ON h.deck_id = b.deck_id
 """)
 def _(t: Tables):
-    return P.plan_fingerprint(t("pl_briefs"), t("pl_hashes"), "v6")
+    return P.plan_fingerprint(t.stored("pl_briefs"), t.stored("pl_hashes"), "v6")
 
 
