@@ -328,3 +328,42 @@ define("pl_limits", "SELECT request_id, CAST(max(number) + 6 AS INT) AS slide_ma
 define("pl_pages", """
 SELECT a.request_id, a.asset_id, CAST(1 + length(a.asset_id) * (a.asset_ix + 3) % 4 AS INT) AS n_pages, l.slide_max FROM {pl_assets} a JOIN {pl_limits} l ON l.request_id = a.request_id
 """)
+
+# Gate inputs: the plans again with zero-based places, references and authored strings.
+define("gt_slides", """
+SELECT s.request_id, s.deck_id, CAST(s.number - 1 AS INT) AS slide_ix, CAST(CASE WHEN o_orderkey % 61 = 3 THEN s.number + 1 ELSE s.number END AS INT) AS number, s.purpose, s.o_orderkey,
+       s.template_family_id, s.template_slide_number, CASE WHEN o_orderkey % 5 = 0 THEN 'cover' ELSE coalesce(f.slide_class, 'other') END AS template_class, s.chart_asset_id
+FROM {pl_slides} s LEFT JOIN {pl_families} f ON f.deck_id = s.deck_id AND f.family_id = s.template_family_id AND f.slide_number = s.template_slide_number
+""")
+define("gt_uses", """
+SELECT request_id, CAST(number - 1 AS INT) AS slide_ix, CAST(assign_ix - 1 AS INT) AS assign_ix, slot_id, kind, action, content_kind, asset_id, visual_kind, visual_subtype, page, text, l_orderkey,
+       CAST(CASE WHEN slot_id LIKE 's_' OR slot_id LIKE 's__' THEN CAST(substr(slot_id, 2) AS INT) + 1 ELSE 5 END AS INT) AS target,
+       CASE WHEN action IN ('clear', 'keep') THEN NULL WHEN assign_ix = 3 THEN 'ghost' ELSE 'content_00' || CAST(1 + number % 3 AS STRING) END AS ref_one,
+       CASE WHEN content_kind = 'visual' AND number % 4 <> 0 THEN 'asset:' || asset_id WHEN content_kind = 'image' THEN 'image:1' END AS ref_two,
+       CASE WHEN content_kind = 'image' AND assign_ix <> 4 THEN 'pic' || CAST(number % 3 AS STRING) || '.png' END AS asset_ref
+FROM {pl_assignments}
+""")
+define("gt_values", """
+SELECT request_id, slide_ix, assign_ix, CAST(CASE WHEN content_kind = 'bullet_list' THEN item_ix END AS INT) AS entry_ix, item AS value FROM (
+  SELECT *, @LIST('Point ' || CAST(slide_ix AS STRING) || ' of 12 345'; 'Second 7,50% ' || slot_id; 'Third item that is rather long for a box')@ FROM {gt_uses} WHERE content_kind IN ('text', 'bullet_list', 'image')) v
+WHERE content_kind = 'bullet_list' OR item_ix = 0
+""")
+define("gt_sources", """
+SELECT request_id, item AS source_id, 'content' AS kind, CASE item_ix WHEN 0 THEN '12345 items, 7.5 and 3 pic0.png' WHEN 1 THEN '1 2 3 4 5 6 7 8 9' WHEN 2 THEN 'none 12 345' WHEN 3 THEN 'see pic1.png' ELSE 'data' END AS text
+FROM (SELECT request_id, @LIST('content_001'; 'content_002'; 'content_003'; 'image:1'; 'asset:ds-' || substr(request_id, 2))@ FROM {pl_limits}) s
+""")
+define("gt_requests", "SELECT request_id, CAST(3 AS INT) AS slide_min, CAST(slide_max - 5 - length(request_id) % 3 AS INT) AS slide_max, 'Deck with Pic0.png inside' AS brief, 'Body pic2.png' AS content_package FROM {pl_limits}")
+define("gt_facts", """
+SELECT request_id, 'fact_' || CAST(item_ix AS STRING) AS fact_id, CAST(item_ix AS INT) AS fact_ix, item AS ref, item_ix <> 3 AS mandatory, CASE WHEN item_ix = 2 THEN 'constraint' ELSE 'content' END AS fact_type
+FROM (SELECT request_id, @LIST('content_001'; 'content_003'; 'content_009'; 'content_008'; 'content_007')@ FROM {pl_limits}) f
+""")
+define("gt_images", """
+SELECT request_id, CAST(item_ix AS INT) AS image_ix, 'image:' || CAST(item_ix AS STRING) AS id, item AS asset_ref, CASE item_ix WHEN 0 THEN 'PIC0.png' WHEN 1 THEN 'other.png' ELSE 'pic2.PNG' END AS original_name
+FROM (SELECT request_id, @LIST('pic0.png'; 'pic1.png'; 'pic2.png')@ FROM {pl_limits}) i
+""")
+define("gt_decks", "SELECT request_id, 'deck.title' AS path, 'Deck of 12345 and 99' AS text, CASE WHEN length(request_id) % 2 = 0 THEN 'content_001' ELSE 'ghost' END AS ref FROM {pl_limits}")
+define("gt_slots", """
+SELECT p.deck_id, p.slide_number, p.slot_id, p.kind, p.required, p.has_canvas, p.caps, p.subs, p.max_items, p.max_rows, p.max_columns, c.max_chars, CAST(coalesce(c.shape_id, 5) AS INT) AS target,
+       CAST(CASE WHEN p.kind = 'bullet_list' AND p.slot_ix % 2 = 0 THEN 2 END AS INT) AS capacity
+FROM {pl_slots} p LEFT JOIN {cat_specs} c ON c.deck_id = p.deck_id AND c.slide_number = p.slide_number AND c.slot_id = p.slot_id
+""")
