@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plinth.plans import catalogs, gates, inputs, jobs, planning, registry, slides, tables, textual  # noqa: F401
+from plinth.plans import catalogs, files, gates, inputs, jobs, planning, registry, slides, tables, textual  # noqa: F401
 
 
 def queries():

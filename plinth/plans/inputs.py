@@ -367,3 +367,25 @@ SELECT p.deck_id, p.slide_number, p.slot_id, p.kind, p.required, p.has_canvas, p
        CAST(CASE WHEN p.kind = 'bullet_list' AND p.slot_ix % 2 = 0 THEN 2 END AS INT) AS capacity
 FROM {pl_slots} p LEFT JOIN {cat_specs} c ON c.deck_id = p.deck_id AND c.slide_number = p.slide_number AND c.slot_id = p.slot_id
 """)
+
+# Table rows as text lines, one file per customer.
+define("file_rows", """
+SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS row_ix, CAST(CAST(o_orderdate AS DATE) AS STRING) AS a,
+       CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS b, 'note ' || o_orderpriority AS c FROM {orders}
+""")
+define("quota_files", """
+SELECT 'q' || CAST(o_custkey AS STRING) AS request_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS file_ix,
+       CAST(o_totalprice AS BIGINT) * CASE WHEN o_orderkey % 3 = 0 THEN 90 ELSE 40 END AS size FROM {orders}
+""")
+define("quota_requests", "SELECT 'q' || CAST(c_custkey AS STRING) AS request_id, CASE WHEN c_custkey % 9 = 0 THEN '  ' ELSE c_name END AS brief, CAST(c_custkey % 5 AS INT) AS slide_min, CAST(c_custkey % 33 AS INT) AS slide_max FROM {customer}")
+define("quota_texts", "SELECT 'q' || CAST(doc_id AS STRING) AS request_id, n_chars AS chars FROM {documents}")
+define("markdown_rows", """
+SELECT n_nationkey, n_name, r_name, n_regionkey, count(c_custkey) AS n FROM {nation} JOIN {region} ON n_regionkey = r_regionkey JOIN {customer} ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name, r_name, n_regionkey
+""")
+define("parts_of_request", """
+SELECT 'v' || CAST(conv_id AS STRING) AS request_id, turn AS file_ix, role || '/f' || CAST(turn AS STRING) || CASE WHEN turn % 3 = 1 THEN '.png' ELSE '.md' END AS name,
+       CASE WHEN turn % 3 = 1 THEN 'image' ELSE 'text' END AS kind, CASE WHEN turn % 3 <> 1 THEN ' ' || text || ' ' END AS text,
+       CASE WHEN turn % 3 = 1 THEN 'store' || CAST(turn AS STRING) || '.png' END AS asset_ref
+FROM (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM {conversations} GROUP BY conv_id, turn) c
+""")
+define("request_forms", "SELECT DISTINCT 'v' || CAST(conv_id AS STRING) AS request_id, CASE WHEN conv_id % 2 = 0 THEN ' Form text ' ELSE '' END AS content_text FROM {conversations}")
