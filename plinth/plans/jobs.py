@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from plinth.operators import jobs as J
 from plinth.plans.registry import Tables, define, query
+from plinth.streaming import feeds
+from plinth.streaming.replay import replay
 
 
 def jobs_of(t: Tables):
@@ -196,3 +198,23 @@ SELECT CASE WHEN name = 'ResponseIncompleteError' THEN 'incomplete' WHEN name =
 def _(t: Tables):
     named = t("failed_calls").select(J.error_category(F.col("status"), F.col("name")).alias("c"))
     return named.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("retryable", J.retryable(F.col("c")))
+
+
+def event_rows(t: Tables):
+    stamp = F.col("created_at").cast("timestamp")
+    return t("job_events").select("job_id", "id", "stage", "progress", "done", "total", stamp.alias("created_at"))
+
+
+@query("job_event_feed_stream", "SELECT job_id, id, stage FROM {job_events}")
+def _(t: Tables):
+    return replay(event_rows(t), lambda s: feeds.job_event_feed(s, "4000 days"), "append").select("job_id", "id", "stage")
+
+
+@query("call_log_windows_stream", r"""
+SELECT CAST(epoch_us(date_trunc('hour', ts)) / 1000000 AS BIGINT) AS window_start, regexp_extract(value, ' stage=(\S+)', 1) AS stage, count(*) AS attempts,
+  CAST(sum(CAST(regexp_extract(value, ' latency=(\S+)', 1) AS DECIMAL(18,3))) AS DOUBLE) AS latency_sum FROM {call_log} GROUP BY ALL
+""")
+def _(t: Tables):
+    rows = replay(t("call_log"), lambda s: feeds.call_log_windows(s, delay="400 days"), "update")
+    last = rows.groupBy("window_start", "stage", "outcome", "error_category").agg(F.max_by(F.struct("attempts", "latency_sum"), "batch").alias("r"))
+    return last.select(F.unix_seconds("window_start").alias("window_start"), "stage", "r.attempts", "r.latency_sum")
