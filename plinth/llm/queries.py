@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import decontamination, simhash
+from plinth.llm import decontamination, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,41 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).drop("times")
+
+
+ORACLES["op8_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS digest
+  FROM documents
+),
+sources AS (SELECT source, sum(size)::DOUBLE AS source_size, 3 * sum(size)::DOUBLE AS cap FROM sized GROUP BY source),
+weighted AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM sources),
+levels AS (
+  SELECT *, row_number() OVER w AS k,
+    ((SELECT sum(source_size) FROM sources) - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)
+),
+water AS (SELECT level FROM levels WHERE level * weight <= cap ORDER BY k LIMIT 1),
+planned AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole
+  FROM (SELECT *, coalesce(least((SELECT level FROM water) * weight, cap), cap) AS target FROM weighted)
+),
+once AS (SELECT source, digest, sum(size) AS n FROM sized GROUP BY source, digest),
+ordered AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2 AS middle FROM once),
+cuts AS (
+  SELECT p.source, max(o.digest) FILTER (WHERE o.middle < p.target - p.whole * p.source_size) AS cut
+  FROM planned p JOIN ordered o ON o.source IS NOT DISTINCT FROM p.source GROUP BY p.source
+)
+SELECT s.doc_id, s.size, p.source_size::BIGINT AS source_size, p.target,
+  (s.size * (p.whole + (CASE WHEN s.digest <= c.cut THEN 1 ELSE 0 END)))::BIGINT AS taken
+FROM sized s JOIN planned p ON p.source IS NOT DISTINCT FROM s.source JOIN cuts c ON c.source IS NOT DISTINCT FROM s.source
+"""
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
