@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import decontamination, language, mixing, quality, sequences, simhash, toxicity
+from plinth.llm import decontamination, language, licences, mixing, quality, sequences, simhash, toxicity
 from plinth.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.summary(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
