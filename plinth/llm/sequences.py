@@ -10,10 +10,10 @@ written by Spark last: a file that no manifest row names (of a task that failed
 
 from __future__ import annotations
 
-import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 #: Ids per sequence and sequences per record batch.
 SEQUENCE = 2048
 BATCH = 256
-#: Pieces that a worker remembers; the memory is emptied when full.
-REMEMBERED = 300_000
+#: Pieces that a worker remembers (at most twice as many, some 150 bytes each).
+REMEMBERED = 400_000
 END = 0
 MANIFEST = "part int, ids_path string, docs_path string, n_docs long, n_tokens long, first_id long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -35,48 +35,66 @@ class Encoder:
     """Whole texts to ids with a tokenizer file whose pre-tokeniser is byte-level.
 
     Such a pre-tokeniser always ends a token before a single space that follows a non-space, so a text is the sum of
-    its pieces cut there, and a piece met before need not be encoded again. Texts with other white space at such a cut
-    (double spaces, a space after a newline) are given to the tokenizer whole, as are all texts when the tokenizer is
-    of another kind. The result always equals ``Tokenizer.encode(text, add_special_tokens=False)``.
+    its pieces cut there, and a piece met before need not be encoded again. New pieces of a text are encoded joined;
+    the ids of a piece start at the only one of its tokens that holds a space. Texts with other white space at such a
+    cut (double spaces, a space after a newline) are given to the tokenizer whole, as are all texts when the tokenizer
+    is of another kind. The result always equals ``Tokenizer.encode(text, add_special_tokens=False)``.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        given = json.loads(self.tokenizer.to_str())
-        before = given.get("pre_tokenizer") or {}
-        plain_specials = not any(a.get("lstrip") or a.get("rstrip") or " " in a["content"] for a in given.get("added_tokens", ()))
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        before = self.tokenizer.pre_tokenizer
+        added = self.tokenizer.get_added_tokens_decoder().values()
         self.cuts = (
-            before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-            and not given.get("normalizer") and given["model"]["type"] == "BPE" and plain_specials
+            isinstance(before, pre_tokenizers.ByteLevel) and not before.add_prefix_space and before.use_regex and self.tokenizer.normalizer is None
+            and isinstance(self.tokenizer.model, models.BPE) and not any(a.lstrip or a.rstrip or a.single_word or " " in a.content for a in added)
         )
-        self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self.dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of new pieces; when the memory is full it becomes the older one, and what that still held is forgotten."""
+        again = [p for p in pieces if p in self.older]
+        self.recent.update((p, self.older[p]) for p in again)
+        new = list(pieces.difference(again))
+        if new:
+            ids = self._encode(" " + " ".join(new))
+            ends = (np.flatnonzero(self.spaced[ids]) * self.dtype.itemsize).tolist()[1:]
+            raw = ids.tobytes()
+            self.recent.update((p, raw[a:b]) for p, a, b in zip(new, [0, *ends], [*ends, len(raw)], strict=True))
 
     def ids(self, text: str) -> bytes:
         """The ids of ``text`` as packed integers of ``dtype``."""
         if not text:
             return b""
         if not self.cuts:
-            return self._encode([text])[0]
+            return self._encode(text).tobytes()
+        if len(self.recent) > REMEMBERED:
+            self.recent, self.older = {}, self.recent
         head, *tail = text.split(" ")
-        unknown = {p for p in tail if p not in self.later}
-        if head and head[-1].isspace() or any(not p or p[-1].isspace() for p in unknown) or not head and tail:
-            return self._encode([text])[0]
-        if len(self.later) + len(unknown) > REMEMBERED:
-            self.later.clear()
-            unknown = set(tail)
+        recent = self.recent
+        unknown = {p for p in tail if p not in recent}
+        if head and head[-1].isspace() or not head and tail or any(not p or p[-1].isspace() for p in unknown):
+            return self._encode(text).tobytes()
         if unknown:
-            pieces = list(unknown)
-            self.later.update(zip(pieces, self._encode([" " + p for p in pieces]), strict=True))
-        return b"".join([*self._encode([head]), *map(self.later.__getitem__, tail)])
+            self._learn(unknown)
+        return b"".join([self._encode(head).tobytes(), *map(recent.__getitem__, tail)])
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -162,7 +180,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: Callable[[], str],
         for batch in batches:
             for doc_id, text in zip(*batch.columns, strict=True):
                 if made is None:
-                    encoder = Encoder(tokenizer())
+                    encoder = encoder_of(tokenizer())
                     paths = [f"{folder}/{part:06d}-{uuid.uuid4().hex}.{kind}.arrows" for kind in ("ids", "docs")]
                     store, place = _open(paths[0])
                     store.create_dir(place.rpartition("/")[0], recursive=True)
