@@ -46,7 +46,7 @@ PLACEHOLDER_TEXTS = [
 TITLE_WORDS = ["title", "heading", "header", "заголовок"]
 VISUAL_ROLE_WORDS = ["visual", "визуал", "график", "chart"]
 BRAND = r"(?:^|[^a-zа-яё])(logo|brand|логотип|бренд)(?:$|[^a-zа-яё])"
-MARKER = "presd:visual"
+MARKER = "deck:visual"  # default marker of a placeholder for visuals
 CANVAS_LEFT, CANVAS_WIDTH, CANVAS_TOP, CANVAS_BOTTOM, CANVAS_GAP = 0.03, 0.94, 0.22, 0.90, 0.03
 
 
@@ -174,7 +174,7 @@ def expand_bindings(specs: DataFrame, roles: DataFrame, shapes: DataFrame, membe
     Image shapes are skipped for slots of other kinds. ``members`` carries ``kind`` and ``header_rows``.
     """
     typed = shapes.select(*SLIDE, "shape_id", F.col("type").alias("shape_type"))
-    columns = [*SLOT, "slot_ix", "shape_id", "renderer", "value_path", "mode", "place"]
+    columns = [*SLOT, "slot_ix", "shape_id", "renderer", "value_path", "mode", "place", "place_in"]
     single = specs.filter("target_type = 'shape'").join(typed, [*SLIDE, "shape_id"]).filter(
         "shape_type <> 'image' or kind = 'image'"
     )
@@ -190,7 +190,7 @@ def expand_bindings(specs: DataFrame, roles: DataFrame, shapes: DataFrame, membe
     plain = ~kind.isin("visual", "image")
     path = F.when(plain & native, "/").when(plain & (kind == "bullet_list"), "/items").when(plain, "/text")
     mode = F.when(plain & native, "native").when(plain & (kind == "bullet_list"), "paragraphs").otherwise("scalar")
-    one = single.withColumn("renderer", renderer).withColumn("value_path", path).withColumn("mode", mode).withColumn("place", F.lit(0))
+    one = single.withColumn("renderer", renderer).withColumn("value_path", path).withColumn("mode", mode).withColumn("place", F.lit(0)).withColumn("place_in", F.lit(0))
     body = F.col("row") - F.col("header_rows")
     inside = specs.filter("target_type = 'structure'").select(*SLOT, "slot_ix", "structure_id").join(
         members.filter("role = 'content'").drop("role"), [*SLIDE, "structure_id"]
@@ -200,20 +200,20 @@ def expand_bindings(specs: DataFrame, roles: DataFrame, shapes: DataFrame, membe
         F.when(F.col("row") < F.col("header_rows"), F.format_string("/columns/%d", "col")).otherwise(
             F.format_string("/rows/%d/%d", body, F.col("col"))
         ),
-    ).withColumn("place", F.col("row") * 10_000 + F.col("col"))
+    ).withColumn("place", F.col("row")).withColumn("place_in", F.col("col"))
     repeat = inside.filter("kind = 'repeat'").join(roles, [*SLOT, "field_id"]).withColumn("renderer", F.lit("text")).withColumn(
         "value_path", F.format_string("/items/%d/%s", F.col("item_ix"), F.col("role"))
-    ).withColumn("mode", F.when(F.col("role") == "details", "paragraphs").otherwise("scalar")).withColumn("place", F.col("item_ix"))
+    ).withColumn("mode", F.when(F.col("role") == "details", "paragraphs").otherwise("scalar")).withColumn("place", F.col("item_ix")).withColumn("place_in", F.lit(0))
     return union_all([df.select(*columns) for df in (one, grid, repeat)])
 
 
-def visual_capabilities(shapes: DataFrame) -> DataFrame:
+def visual_capabilities(shapes: DataFrame, tag: str = MARKER) -> DataFrame:
     """Kinds, subtypes, size and grid limits of a shape used as a visual anchor.
 
-    ``shapes`` may carry ``chart_type, table_rows, table_columns``.
+    ``shapes`` may carry ``chart_type, table_rows, table_columns``; ``tag`` marks a placeholder for a visual.
     """
     marker = F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("alt_text", F.lit(""))))
-    named = F.regexp_extract(marker, MARKER + r":([a-z_, -]+)", 1)
+    named = F.regexp_extract(marker, tag + r":([a-z_, -]+)", 1)
     listed = F.filter(F.split(named, "[, ]+"), lambda v: v.isin(VISUAL_KINDS))
     kind = F.col("type")
     kinds = F.when(kind.isin("chart", "table"), F.array(kind)).when(F.size(listed) > 0, listed).otherwise(words(VISUAL_KINDS))
@@ -282,7 +282,7 @@ def _free_names(candidates: DataFrame, existing: DataFrame, base: str, rank: str
     ).drop("taken", "_n")
 
 
-def unclaimed_visuals(shapes: DataFrame, slots: DataFrame, owned: DataFrame, structural: DataFrame) -> DataFrame:
+def unclaimed_visuals(shapes: DataFrame, slots: DataFrame, owned: DataFrame, structural: DataFrame, tag: str = MARKER) -> DataFrame:
     """Optional visual slots for free native charts, tables and marked shapes.
 
     ``slots``: ``deck_id, slide_number, slot_id`` in use; ``owned`` and ``structural``: shapes that
@@ -290,7 +290,7 @@ def unclaimed_visuals(shapes: DataFrame, slots: DataFrame, owned: DataFrame, str
     """
     marker = F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("alt_text", F.lit(""))))
     native = F.col("type").isin("chart", "table")
-    free = _free_shapes(shapes, owned, structural).filter("not in_group").filter(native | F.contains(marker, F.lit(MARKER)))
+    free = _free_shapes(shapes, owned, structural).filter("not in_group").filter(native | F.contains(marker, F.lit(tag)))
     order = F.when(native, 0).otherwise(1)
     ranked = renumber_by(
         free.withColumn("_group", order), SLIDE, F.col("_group") * (1 << 20) + F.floor(F.col("shape_id") / 65536), ["_group", "shape_id"], "rank"

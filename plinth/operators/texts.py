@@ -129,7 +129,9 @@ def expand_headings(slide_refs: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     added = slide_refs.join(bodies, ["request_id", "source_id"]).groupBy("request_id", "number", "next_id").agg(
         F.min("ref_ix").alias("ref_ix")
-    ).select("request_id", "number", (F.col("ref_ix") + 1_000_000).alias("ref_ix"), F.col("next_id").alias("source_id"))
+    )
+    after = slide_refs.groupBy("request_id", "number").agg((F.max("ref_ix") + 1).alias("after"))
+    added = added.join(after, ["request_id", "number"]).select("request_id", "number", (F.col("ref_ix") + F.col("after")).alias("ref_ix"), F.col("next_id").alias("source_id"))
     fresh = added.join(slide_refs, ["request_id", "number", "source_id"], "left_anti")
     return slide_refs.select("request_id", "number", "ref_ix", "source_id").unionByName(
         fresh.select("request_id", "number", "ref_ix", "source_id")

@@ -111,7 +111,7 @@ SELECT *, CASE WHEN type = 'chart' THEN CASE l_returnflag WHEN 'A' THEN 'XlChart
 
 
 @query("visual_capabilities", r"""
-SELECT deck_id, slide_number, shape_id, CASE WHEN type IN ('chart', 'table') THEN type WHEN name LIKE 'presd:visual:%' THEN 'chart|table' ELSE 'table|chart|diagram|pictogram_grid' END AS kinds,
+SELECT deck_id, slide_number, shape_id, CASE WHEN type IN ('chart', 'table') THEN type WHEN name LIKE 'deck:visual:%' THEN 'chart|table' ELSE 'table|chart|diagram|pictogram_grid' END AS kinds,
   CASE WHEN type = 'chart' THEN CASE l_returnflag WHEN 'A' THEN 'donut' WHEN 'N' THEN 'scatter' ELSE '' END WHEN type = 'table' THEN ''
     ELSE 'bar|column|line|area|pie|donut|scatter|process|timeline|cycle|hierarchy|comparison' END AS subtypes,
   CASE WHEN type IN ('chart', 'table') THEN 'existing_object' ELSE 'container' END AS render_mode, round(width / height, 6) AS aspect_ratio,
@@ -149,7 +149,7 @@ def free_names(base: str, source: str, order: str) -> str:
    WHERE NOT EXISTS (SELECT 1 FROM {{cat_specs}} c WHERE {on("c", "g")} AND c.slot_id = g.nm))"""
 
 
-@query("unclaimed_visuals", "WITH cand AS (SELECT *, CASE WHEN type IN ('chart', 'table') THEN 0 ELSE 1 END AS grp FROM {x_unowned} WHERE NOT in_group AND (type IN ('chart', 'table') OR name LIKE 'presd:visual%')),"
+@query("unclaimed_visuals", "WITH cand AS (SELECT *, CASE WHEN type IN ('chart', 'table') THEN 0 ELSE 1 END AS grp FROM {x_unowned} WHERE NOT in_group AND (type IN ('chart', 'table') OR name LIKE 'deck:visual%')),"
        + free_names("visual", "cand", "grp, shape_id") + f"""
 SELECT r.deck_id, r.slide_number, n.nm AS slot_id, r.shape_id, CASE WHEN grp = 0 THEN type ELSE 'visual' END AS renderer FROM ranked r JOIN names n ON {on("n", "r", "rk")}
 """)

@@ -171,7 +171,7 @@ SELECT 'k' || CAST(CAST((l_partkey - l_partkey % 20) / 20 AS INT) AS STRING) AS
        CAST(CASE layout WHEN 0 THEN CASE WHEN type = 'image' THEN 5 ELSE 30 END WHEN 1 THEN 40 WHEN 2 THEN 30
                  WHEN 3 THEN CASE WHEN type = 'image' THEN 250 ELSE 40 END ELSE CASE WHEN ix = 0 THEN 600 WHEN ix % 9 = 5 THEN 10 ELSE 40 END END AS DOUBLE) / 1000 AS height,
        CASE WHEN layout = 4 AND ix = 1 THEN 'title' WHEN layout = 3 AND ix = 1 THEN 'center_title' WHEN ix % 10 = 7 THEN 'body' END AS placeholder_type,
-       CASE WHEN ix % 12 = 11 THEN 'Company Logo' WHEN layout = 3 AND ix % 6 = 4 THEN 'presd:visual:chart, table' WHEN ix % 17 = 3 THEN 'presd:visual' ELSE 'Box ' || CAST(ix AS STRING) END AS name,
+       CASE WHEN ix % 12 = 11 THEN 'Company Logo' WHEN layout = 3 AND ix % 6 = 4 THEN 'deck:visual:chart, table' WHEN ix % 17 = 3 THEN 'deck:visual' ELSE 'Box ' || CAST(ix AS STRING) END AS name,
        CASE WHEN ix % 19 = 6 THEN 'brand mark' END AS alt_text,
        CASE WHEN type <> 'text' THEN NULL WHEN ix % 8 = 5 THEN ' Insert  Text: ' WHEN layout = 2 THEN CASE ix % 3 WHEN 0 THEN 'Name' WHEN 1 THEN 'Role' ELSE 'Bio' END
             ELSE 'Text ' || l_returnflag || CAST(ix AS STRING) END AS text,

@@ -205,9 +205,15 @@ def event_rows(t: Tables):
     return t("job_events").select("job_id", "id", "stage", "progress", "done", "total", stamp.alias("created_at"))
 
 
+@query("job_state_stream", "SELECT job_id, status, stage, progress, last_id FROM {x_state}")
+def _(t: Tables):
+    told = replay(event_rows(t), feeds.job_state, "update")
+    return told.groupBy("job_id").agg(F.max_by(F.struct("status", "stage", "progress", "last_id"), "batch").alias("s")).select("job_id", "s.*")
+
+
 @query("job_event_feed_stream", "SELECT job_id, id, stage FROM {job_events}")
 def _(t: Tables):
-    return replay(event_rows(t), lambda s: feeds.job_event_feed(s, "4000 days"), "append").select("job_id", "id", "stage")
+    return replay(event_rows(t), feeds.job_event_feed, "append").select("job_id", "id", "stage")
 
 
 @query("call_log_windows_stream", r"""
@@ -215,6 +221,6 @@ SELECT CAST(epoch_us(date_trunc('hour', ts)) / 1000000 AS BIGINT) AS window_star
   CAST(sum(CAST(regexp_extract(value, ' latency=(\S+)', 1) AS DECIMAL(18,3))) AS DOUBLE) AS latency_sum FROM {call_log} GROUP BY ALL
 """)
 def _(t: Tables):
-    rows = replay(t("call_log"), lambda s: feeds.call_log_windows(s, delay="400 days"), "update")
+    rows = replay(t("call_log"), feeds.call_log_windows, "update")
     last = rows.groupBy("window_start", "stage", "outcome", "error_category").agg(F.max_by(F.struct("attempts", "latency_sum"), "batch").alias("r"))
     return last.select(F.unix_seconds("window_start").alias("window_start"), "stage", "r.attempts", "r.latency_sum")

@@ -207,7 +207,7 @@ define("pl_slide_texts", "SELECT request_id, number, purpose AS text FROM {pl_sl
 @query("ground_assets", r"""
 WITH p AS (SELECT a.request_id, a.asset_ix, a.asset_id, s.number, CASE WHEN EXISTS (SELECT 1 FROM {pl_used} u WHERE u.request_id = a.request_id AND u.asset_id = a.asset_id AND u.number = s.number) THEN 0
    WHEN EXISTS (SELECT 1 FROM {pl_cited} c WHERE c.request_id = a.request_id AND c.asset_id = a.asset_id AND c.number = s.number) THEN 1 WHEN contains(lower(s.text), lower(a.title)) THEN 2 WHEN s.number > 1 THEN 3 END AS rank
-   FROM {pl_titles} a JOIN {pl_slide_texts} s ON s.request_id = a.request_id WHERE s.number <= 30),
+   FROM {pl_titles} a JOIN {pl_slide_texts} s ON s.request_id = a.request_id),
  k AS (SELECT *, dense_rank() OVER (PARTITION BY request_id ORDER BY asset_ix) AS k FROM p WHERE rank IS NOT NULL),
  one AS (SELECT * FROM k WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY rank, number) = 1),
  two AS (SELECT k.* FROM k JOIN one ON one.request_id = k.request_id AND one.number <> k.number WHERE k.k = 2 QUALIFY row_number() OVER (PARTITION BY k.request_id ORDER BY k.rank, k.number) = 1)
@@ -230,12 +230,12 @@ def _(t: Tables):
 
 @query("paginate_plan", r"""
 WITH v AS (SELECT *, count(*) OVER (PARTITION BY request_id, asset_id) AS uses, count(*) OVER (PARTITION BY request_id, number) AS nv FROM {pl_assignments} WHERE content_kind = 'visual'),
- f AS (SELECT s.request_id, s.number, s.chart_asset_id, coalesce(g.n_pages, 1) AS n FROM {pl_slides} s LEFT JOIN v ON v.request_id = s.request_id AND v.number = s.number AND v.uses = 1 AND v.nv = 1
+ f AS (SELECT s.request_id, s.number, s.chart_asset_id, coalesce(g.n_pages, 1) AS n, g.n_pages IS NOT NULL AS alone FROM {pl_slides} s LEFT JOIN v ON v.request_id = s.request_id AND v.number = s.number AND v.uses = 1 AND v.nv = 1
    LEFT JOIN {pl_pages} g ON g.request_id = v.request_id AND g.asset_id = v.asset_id),
  o AS (SELECT f.*, sum(n) OVER (PARTITION BY f.request_id) > (SELECT max(slide_max) FROM {pl_pages} g WHERE g.request_id = f.request_id) AS over_max FROM f),
  c AS (SELECT *, unnest(range(1, CASE WHEN over_max THEN 1 ELSE n END + 1)) AS copy FROM o),
  d AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY number, copy) AS new_number FROM c),
- a AS (SELECT d.request_id, d.new_number AS number, x.slot_id, x.assign_ix, x.content_kind, x.visual_kind, d.chart_asset_id, CASE WHEN x.content_kind = 'visual' AND d.n > 1 AND NOT d.over_max THEN d.copy ELSE x.page END AS page, x.text
+ a AS (SELECT d.request_id, d.new_number AS number, x.slot_id, x.assign_ix, x.content_kind, x.visual_kind, d.chart_asset_id, CASE WHEN x.content_kind = 'visual' AND d.alone AND d.over_max IS NOT TRUE THEN d.copy ELSE x.page END AS page, x.text
    FROM d JOIN {pl_assignments} x ON x.request_id = d.request_id AND x.number = d.number),
  m AS (SELECT *, bool_or(content_kind = 'visual' AND visual_kind = 'chart' AND page > 1 AND chart_asset_id IS NOT NULL) OVER (PARTITION BY request_id, number) AS later,
    arg_min(slot_id, assign_ix) FILTER (content_kind = 'text' AND text IS NOT NULL) OVER (PARTITION BY request_id, number) AS first_text FROM a)

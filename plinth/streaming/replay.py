@@ -9,21 +9,31 @@ from pyspark.sql import functions as F
 
 from plinth.session import shared_folder
 
+#: Rows to a file, and files to a batch; the batches of a replay follow from the size of its input.
+FILE_ROWS, BATCH_FILES = 100_000, 16
 
-def replay(events: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: str, files: int = 4) -> DataFrame:
+
+def replay(events: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: str, batch_files: int = BATCH_FILES, wait: int = 3600) -> DataFrame:
     """Write ``events`` out, stream them through ``transform`` and return the rows with their ``batch``.
 
-    Rows are appended per batch under the batch id, so a batch that runs again replaces its own output.
+    Rows are appended per batch under the batch id, so a batch that runs again replaces its own output. A stream that
+    has not ended after ``wait`` seconds is stopped and raises TimeoutError.
     """
     spark = events.sparkSession
     source, target, marks = (shared_folder(spark, name) for name in ("events", "result", "marks"))
-    events.repartition(files).write.parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    events.write.option("maxRecordsPerFile", FILE_ROWS).parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", batch_files).parquet(source)
     result = transform(stream)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/run={batch_id}")
 
     query = result.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(target).drop("run")
+    if not query.awaitTermination(wait):
+        query.stop()
+        raise TimeoutError(f"the stream did not end within {wait} seconds")
+    return spark.read.schema(f"{_ddl(result)}, batch int").parquet(target)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -1,18 +1,44 @@
-"""Stateful stream of job states against its batch form."""
+"""Streams against their batch forms, in any order of arrival."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from plinth.operators.jobs import job_state
 from plinth.streaming import feeds
 from plinth.streaming.replay import replay
 
+STAGES = ["content_analysis", "generating_slides", "generating_slides", "ready", "canceled", "ready", "failed"]
+
+
+def rows():
+    return [(f"j{j}", j * 100 + i, STAGES[(i + j) % 7], 10 * i, i, 8) for j in range(12) for i in range(5)]
+
+
+def frame_of(spark, found, parts=5):
+    events = spark.createDataFrame(found, "job_id string, id bigint, stage string, progress int, done int, total int")
+    return events.withColumn("created_at", F.timestamp_seconds(F.col("id") * 100_000)).repartition(parts)
 
-def test_job_state_stream_equals_batch(spark):
-    stages = ["content_analysis", "generating_slides", "generating_slides", "ready", "canceled", "ready", "failed"]
-    rows = [
-        (f"j{j}", j * 100 + i, stages[(i + j) % 7], 10 * i, i, 8, None) for j in range(12) for i in range(5)
-    ]
-    events = spark.createDataFrame(rows, feeds.EVENT_SCHEMA).withColumn("created_at", F.timestamp_seconds(F.col("id")))
-    one_file = replay(events, feeds.job_state, "update", files=1)
-    last = one_file.groupBy("job_id").agg(F.max_by(F.struct("status", "stage", "progress", "last_id"), "last_id").alias("s")).select("job_id", "s.*")
+
+def test_job_state_stream_equals_batch_in_any_order(spark):
+    found = rows()
+    random.Random(1).shuffle(found)
+    events = frame_of(spark, found)
+    told = replay(events, feeds.job_state, "update", batch_files=1)
+    assert told.select("batch").distinct().count() > 1
+    last = told.groupBy("job_id").agg(F.max_by(F.struct("status", "stage", "progress", "last_id"), "batch").alias("s")).select("job_id", "s.*")
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, job_state(events).select(*last.columns).collect()))
+
+
+def test_late_and_repeated_events_are_fed_once(spark):
+    found = rows()
+    events = frame_of(spark, found + found[:7])
+    fed = replay(events, feeds.job_event_feed, "append", batch_files=1)
+    assert sorted((r.job_id, r.id) for r in fed.collect()) == sorted((r[0], r[1]) for r in found)
+
+
+def test_a_stream_that_does_not_end_raises(spark):
+    slow = F.udf(lambda x: __import__("time").sleep(20) or x, "long")
+    with pytest.raises(TimeoutError):
+        replay(spark.range(1), lambda s: s.select(slow("id").alias("id")), "append", wait=2)
