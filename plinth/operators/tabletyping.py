@@ -13,8 +13,7 @@ from plinth.functions import scalars as S
 from plinth.functions.numbering import renumber
 from plinth.issues import issue_rows, union_all
 
-# Payloads up to this many characters are hashed whole; longer ones by blocks of rows.
-WHOLE_PAYLOAD_CHARS = 8_000_000
+# Rows, and digests, that are joined before each digest of a table's tree.
 ROWS_PER_BLOCK = 4096
 
 
@@ -149,23 +148,17 @@ def _joined(position: str, text: str) -> Column:
 
 
 def _bounded_bodies(rows: DataFrame) -> DataFrame:
-    """One text per table out of ``asset_id, row_ix, row_json``.
+    """One digest per table out of ``asset_id, row_ix, row_json``.
 
-    Rows are joined per block first. A table up to ``WHOLE_PAYLOAD_CHARS`` keeps its whole text; a
-    longer one is replaced by digests of blocks, and of blocks of digests, so no task holds it.
+    Rows are joined and digested per block, then blocks of digests twice more, whatever the size of the table, so no
+    task holds a long one and a table has one identity.
     """
     block = F.floor((F.col("row_ix") - 1) / ROWS_PER_BLOCK).alias("block")
-    blocks = rows.groupBy("asset_id", block).agg(_joined("row_ix", "row_json").alias("text"))
-    sizes = blocks.groupBy("asset_id").agg(F.sum(F.length("text")).alias("chars"))
-    sized = blocks.join(sizes, "asset_id")
-    texts = sized.filter(F.col("chars") <= WHOLE_PAYLOAD_CHARS).select("asset_id", "block", "text")
-    digests = sized.filter(F.col("chars") > WHOLE_PAYLOAD_CHARS).select(
-        "asset_id", "block", F.sha2("text", 256).alias("text")
-    )
+    digests = rows.groupBy("asset_id", block).agg(F.sha2(_joined("row_ix", "row_json"), 256).alias("text"))
     for _ in range(2):
         upper = F.floor(F.col("block") / ROWS_PER_BLOCK).alias("block")
         digests = digests.groupBy("asset_id", upper).agg(F.sha2(_joined("block", "text"), 256).alias("text"))
-    return texts.unionByName(digests).groupBy("asset_id").agg(_joined("block", "text").alias("body"))
+    return digests.groupBy("asset_id").agg(_joined("block", "text").alias("body"))
 
 
 def body_payloads(cells: DataFrame) -> DataFrame:

@@ -142,8 +142,17 @@ _JSON_TEXT = r"""
  rowsj AS (SELECT asset_id, row_ix, '[' || string_agg(j, ',' ORDER BY col_ix) || ']' AS rj FROM typed GROUP BY ALL)"""
 
 
-@query("stable_asset_id", "WITH " + _JSON_TEXT + r"""
-, payload AS (SELECT asset_id, max(rj) FILTER (row_ix = 0) AS labels, coalesce(string_agg(rj, ',' ORDER BY row_ix) FILTER (row_ix > 0), '') AS body FROM rowsj GROUP BY ALL)
+def _tree(rows: str) -> str:
+    """Digest tree over the rows of a table, blocks of 4096 at three levels."""
+    return f"""
+ tree0 AS (SELECT asset_id, (row_ix - 1) // 4096 AS b, sha256(string_agg(rj, ',' ORDER BY row_ix)) AS d FROM {rows} WHERE row_ix > 0 GROUP BY ALL),
+ tree1 AS (SELECT asset_id, b // 4096 AS b, sha256(string_agg(d, ',' ORDER BY tree0.b)) AS d FROM tree0 GROUP BY asset_id, tree0.b // 4096),
+ tree2 AS (SELECT asset_id, b // 4096 AS b, sha256(string_agg(d, ',' ORDER BY tree1.b)) AS d FROM tree1 GROUP BY asset_id, tree1.b // 4096),
+ body AS (SELECT asset_id, string_agg(d, ',' ORDER BY b) AS body FROM tree2 GROUP BY ALL)"""
+
+
+@query("stable_asset_id", "WITH " + _JSON_TEXT + "," + _tree("rowsj") + r"""
+, payload AS (SELECT r.asset_id, r.rj AS labels, coalesce(b.body, '') AS body FROM rowsj r LEFT JOIN body b ON b.asset_id = r.asset_id WHERE r.row_ix = 0)
 SELECT p.asset_id, substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 48) || '-' ||
   substr(sha256('{"columns":' || labels || ',"rows":[' || body || '],"title":"' || title || '"}'), 1, 10) AS stable_id
 FROM payload p JOIN {assets} a ON a.asset_id = p.asset_id
@@ -154,8 +163,7 @@ def _(t: Tables):
 
 @query("asset_content_hash", "WITH " + _JSON_TEXT + r"""
 , members AS (SELECT y.asset_id, y.row_ix, '{' || string_agg('"' || k.key || '":' || y.j, ',' ORDER BY k.key) || '}' AS rj
-    FROM typed y JOIN {x_keys} k ON k.asset_id = y.asset_id AND k.col_ix = y.col_ix WHERE y.row_ix > 0 GROUP BY ALL),
- body AS (SELECT asset_id, string_agg(rj, ',' ORDER BY row_ix) AS body FROM members GROUP BY ALL),
+    FROM typed y JOIN {x_keys} k ON k.asset_id = y.asset_id AND k.col_ix = y.col_ix WHERE y.row_ix > 0 GROUP BY ALL),""" + _tree("members") + r""",
  heads AS (SELECT asset_id, string_agg('{"key":"' || key || '","label":"' || label || '","type":"' || type || '","unit":' || coalesce('"' || unit || '"', 'null') || '}', ',' ORDER BY col_ix) AS cols FROM {x_columns} GROUP BY ALL)
 SELECT a.asset_id, sha256('{"columns":[' || cols || '],"id":"' || a.asset_id || '","kind":"dataset","provenance":"' || provenance || '","rows":[' || coalesce(body, '') ||
   '],"source_refs":["' || request_id || '"],"title":"' || title || '","visual_hint":{"kind":' || coalesce('"' || hint_kind || '"', 'null') || ',"mode":"' || hint_mode ||

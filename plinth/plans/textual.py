@@ -273,7 +273,7 @@ def _(t: Tables):
     return O.refill_cleared_details(t("cleared_lists"), t("outline_refs"), O.chunk_sources(t("requests")))
 
 
-define("tag_rows", "SELECT doc_id, ' ' || upper(lang) || '! ' AS a, source || '--' || lang AS b, replace(substr(text, 1, 12), chr(10), ' ') AS c, lang AS d, '***' AS e FROM {documents}")
+define("tag_rows", "SELECT doc_id, ' ' || upper(lang) || '! ' AS a, source || '--' || lang AS b, replace(text, chr(10), ' ') AS c, lang AS d, '***' AS e FROM {documents}")
 
 
 @query("normalize_tags", r"""
