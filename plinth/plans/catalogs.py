@@ -135,7 +135,7 @@ def _(t: Tables):
 
 
 define("x_unowned", f"""
-SELECT * FROM {{shapes}} s WHERE NOT EXISTS (SELECT 1 FROM {{cat_owned}} o WHERE {on("o", "s", "shape_id")}) AND NOT EXISTS (SELECT 1 FROM {{cat_structural}} m WHERE {on("m", "s", "shape_id")})
+SELECT * FROM {{shapes}} s WHERE NOT EXISTS (SELECT 1 FROM {{free_owned}} o WHERE {on("o", "s", "shape_id")}) AND NOT EXISTS (SELECT 1 FROM {{cat_structural}} m WHERE {on("m", "s", "shape_id")})
 """)
 
 
@@ -146,7 +146,7 @@ def free_names(base: str, source: str, order: str) -> str:
  names AS (SELECT deck_id, slide_number, nm, row_number() OVER (PARTITION BY deck_id, slide_number ORDER BY n) AS rk FROM (
    SELECT d.deck_id, d.slide_number, n, CASE WHEN n = 1 THEN '{base}' ELSE '{base}_' || CAST(n AS VARCHAR) END AS nm
    FROM (SELECT DISTINCT deck_id, slide_number FROM ranked) d, (SELECT unnest(range(1, 80)) AS n) k) g
-   WHERE NOT EXISTS (SELECT 1 FROM {{cat_specs}} c WHERE {on("c", "g")} AND c.slot_id = g.nm))"""
+   WHERE NOT EXISTS (SELECT 1 FROM {{free_specs}} c WHERE {on("c", "g")} AND c.slot_id = g.nm))"""
 
 
 @query("unclaimed_visuals", "WITH cand AS (SELECT *, CASE WHEN type IN ('chart', 'table') THEN 0 ELSE 1 END AS grp FROM {x_unowned} WHERE NOT in_group AND (type IN ('chart', 'table') OR name LIKE 'deck:visual%')),"
@@ -154,7 +154,7 @@ def free_names(base: str, source: str, order: str) -> str:
 SELECT r.deck_id, r.slide_number, n.nm AS slot_id, r.shape_id, CASE WHEN grp = 0 THEN type ELSE 'visual' END AS renderer FROM ranked r JOIN names n ON {on("n", "r", "rk")}
 """)
 def _(t: Tables):
-    found = C.unclaimed_visuals(t.stored("shapes"), t.stored("cat_specs"), t.stored("cat_owned"), t.stored("cat_structural"))
+    found = C.unclaimed_visuals(t.stored("shapes"), t.stored("free_specs"), t.stored("free_owned"), t.stored("cat_structural"))
     return found.select(*C.SLOT, "shape_id", "renderer")
 
 
@@ -163,11 +163,11 @@ def _(t: Tables):
  g AS (SELECT *, row_number() OVER (PARTITION BY deck_id, slide_number ORDER BY shape_id) - 1 AS i, count(*) OVER (PARTITION BY deck_id, slide_number) AS n FROM {{x_unowned}}
    WHERE type = 'text' AND coalesce(placeholder_type, '') NOT IN ('title', 'center_title') AND trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), '.:*') IN ('insert text', 'text', 'title'))
 SELECT r.deck_id, r.slide_number, n.nm AS slot_id, 'text' AS kind, r.shape_id, '/text' AS value_path, CAST(NULL AS BIGINT) AS capacity FROM ranked r JOIN names n ON {on("n", "r", "rk")}
-UNION ALL SELECT deck_id, slide_number, CASE WHEN EXISTS (SELECT 1 FROM {{cat_specs}} c WHERE {on("c", "g")} AND c.slot_id = 'fallback_text') THEN 'fallback_text_2' ELSE 'fallback_text' END,
+UNION ALL SELECT deck_id, slide_number, CASE WHEN EXISTS (SELECT 1 FROM {{free_specs}} c WHERE {on("c", "g")} AND c.slot_id = 'fallback_text') THEN 'fallback_text_2' ELSE 'fallback_text' END,
   CASE WHEN n > 1 THEN 'bullet_list' ELSE 'text' END, shape_id, CASE WHEN n > 1 THEN '/items/' || i ELSE '/text' END, CASE WHEN n > 1 THEN n END FROM g
 """)
 def _(t: Tables):
-    return C.fallback_slots(t.stored("shapes"), t.stored("cat_specs"), t.stored("cat_owned"), t.stored("cat_structural"))
+    return C.fallback_slots(t.stored("shapes"), t.stored("free_specs"), t.stored("free_owned"), t.stored("cat_structural"))
 
 
 define("x_titles", f"""

@@ -231,14 +231,14 @@ SELECT event_type AS batch, event_id AS run, value AS seconds, CAST(event_id % 3
 """)
 
 # Catalog inputs: slots over shapes and over one structure per slide of the first two arrangements.
-define("cat_specs", """
+_SPECS = """
 SELECT deck_id, slide_number, ix AS slot_ix,
        CASE WHEN ix = 4 THEN 'visual' WHEN ix = 8 THEN 'fallback_title' WHEN ix = 9 THEN 'fallback_text' WHEN ix = 12 THEN 'visual_3' ELSE 's' || CAST(ix AS STRING) END AS slot_id,
        CASE type WHEN 'image' THEN CASE WHEN ix % 7 = 3 THEN 'text' ELSE 'image' END WHEN 'text' THEN CASE WHEN l_linestatus = 'O' THEN 'text' ELSE 'bullet_list' END ELSE 'visual' END AS kind,
        CASE WHEN type = 'image' THEN CASE WHEN ix % 2 = 0 THEN 'Main visual' ELSE 'photo' END WHEN ix = 1 THEN 'Slide title' ELSE 'body text' END AS role,
        'shape' AS target_type, CASE WHEN ix % 37 = 33 THEN 900 ELSE shape_id END AS shape_id, CAST(NULL AS STRING) AS structure_id, CAST(NULL AS STRING) AS structure_kind,
        ix % 3 = 0 AS required, CAST(CASE WHEN ix % 4 = 0 THEN 40 END AS INT) AS max_chars
-FROM {shapes} WHERE layout >= 2 AND l_returnflag <> 'R'
+FROM {shapes} @SOME
 UNION ALL
 SELECT deck_id, slide_number, 900, 'structured',
        CASE p_partkey % 7 WHEN 0 THEN 'table' WHEN 1 THEN 'cards' WHEN 2 THEN 'profiles' WHEN 3 THEN 'text' WHEN 4 THEN 'bullet_list' WHEN 5 THEN 'metrics' ELSE 'image' END,
@@ -246,7 +246,11 @@ SELECT deck_id, slide_number, 900, 'structured',
        CASE p_partkey % 5 WHEN 0 THEN 'grid_0' WHEN 1 THEN 'repeat_0' WHEN 3 THEN 'static_visual_0' ELSE 'ghost_0' END,
        CASE p_partkey % 5 WHEN 0 THEN 'grid' WHEN 1 THEN 'repeat' WHEN 3 THEN 'static_visual' END, TRUE, NULL
 FROM {slides}
-""")
+"""
+define("cat_specs", _SPECS.replace("@SOME", ""))
+# For the queries over shapes that no slot owns: some shapes have no slot.
+define("free_specs", _SPECS.replace("@SOME", "WHERE layout >= 2 AND l_returnflag <> 'R'"))
+define("free_owned", "SELECT deck_id, slide_number, slot_id, shape_id FROM {free_specs} WHERE target_type = 'shape'")
 define("cat_roles", """
 SELECT deck_id, slide_number, 'structured' AS slot_id,
        CASE WHEN p_partkey % 8 = 3 THEN CASE item_ix WHEN 0 THEN 'title' ELSE 'body' END ELSE 'field_' || CAST(item_ix AS STRING) END AS field_id,
