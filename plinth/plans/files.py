@@ -29,7 +29,9 @@ SELECT {path} AS path, {title} AS title, row_ix, u.col_ix, u.raw FROM (
 CSV_PATH = "'in/c' || CAST(o_custkey AS VARCHAR) || '.csv'"
 
 
-@query("read_csv_datasets", _cells_sql("'c' || CAST(o_custkey AS VARCHAR)", CSV_PATH))
+@query("read_csv_datasets", "SELECT *, CAST(NULL AS VARCHAR) AS error FROM (" + _cells_sql("'c' || CAST(o_custkey AS VARCHAR)", CSV_PATH) + """) u
+UNION ALL SELECT 'in/x' || CAST(c_custkey AS VARCHAR) || '.csv', NULL, NULL, NULL, NULL, CASE WHEN c_custkey % 2 = 0 THEN 'UnicodeDecodeError: not UTF-8' ELSE 'ValueError: no tabular data' END FROM {customer}
+""")
 def _(t: Tables):
     texts = [_lines(t, s).filter(F.col("o_custkey") % 3 == i) for i, s in enumerate((",", ";", "\t"))]
     marked = F.concat(F.when(F.col("o_custkey") % 2 == 0, F.lit("﻿")).otherwise(""), "text", F.lit("\n ,\n"))
@@ -37,7 +39,8 @@ def _(t: Tables):
     files = texts[0].unionByName(texts[1]).unionByName(texts[2]).select(
         F.format_string("in/c%d.csv", "o_custkey").alias("path"), F.encode(marked, "UTF-8").alias("content")
     )
-    return S.read_csv_datasets(files).select("path", "title", "row_ix", "col_ix", "raw")
+    bad = t("customer").select(F.format_string("in/x%d.csv", "c_custkey").alias("path"), F.when(F.col("c_custkey") % 2 == 0, F.unhex(F.lit("41FF2C42"))).otherwise(F.encode(F.lit(" ,\n\n"), "UTF-8")).alias("content"))
+    return S.read_csv_datasets(files.unionByName(bad)).select("path", "title", "row_ix", "col_ix", "raw", "error")
 
 
 @query("read_xlsx_datasets", _cells_sql("'b' || CAST(o_custkey AS VARCHAR) || ': Data'", "'in/b' || CAST(o_custkey AS VARCHAR) || '.xlsx'"))
@@ -58,13 +61,18 @@ def _(t: Tables):
 
 
 @query("extract_document_text", """
+SELECT *, CAST(NULL AS VARCHAR) AS error FROM (
 SELECT 'in/d' || CAST(o_custkey AS VARCHAR) || '.docx' AS path, 'Intro' || chr(10) || 'Day' || chr(10) || 'Day | Price | Note' || chr(10) || string_agg(a || ' | ' || b || ' | ' || c, chr(10) ORDER BY row_ix) || chr(10) || 'Day | Price | Note' AS text
 FROM {file_rows} GROUP BY o_custkey
-UNION ALL SELECT 'in/t' || CAST(doc_id AS VARCHAR) || '.md', text FROM {documents}
+UNION ALL SELECT 'in/t' || CAST(doc_id AS VARCHAR) || '.md', text FROM {documents}) u
+UNION ALL SELECT 'in/u' || CAST(n_nationkey AS VARCHAR) || CASE n_nationkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.txt' ELSE '.docx' END, NULL,
+  CASE n_nationkey % 3 WHEN 0 THEN 'UnsupportedFormat: PDF text is not extracted' WHEN 1 THEN 'UnicodeDecodeError: not UTF-8' ELSE 'BadZipFile: File is not a zip file' END FROM {nation}
 """)
 def _(t: Tables):
     plain = t("documents").select(F.format_string("in/t%d.md", "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return S.extract_document_text(plain.unionByName(_documents(t)))
+    suffix = F.when(F.col("n_nationkey") % 3 == 0, ".pdf").when(F.col("n_nationkey") % 3 == 1, ".txt").otherwise(".docx")
+    bad = t("nation").select(F.concat(F.lit("in/u"), F.col("n_nationkey").cast("string"), suffix).alias("path"), F.unhex(F.lit("41FF42")).alias("content"))
+    return S.extract_document_text(plain.unionByName(_documents(t)).unionByName(bad))
 
 
 define("corpus", """

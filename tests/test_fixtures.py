@@ -149,6 +149,51 @@ def test_readers_and_errors(spark):
     assert [r.error for r in rows if r.path == "in/b.xlsx"][0].startswith("BadZipFile")
 
 
+def csv_rows(spark, content):
+    files = spark.createDataFrame([("in/a.csv", bytearray(content))], "path string, content binary")
+    rows = S.read_csv_datasets(files).collect()
+    if rows[0].error:
+        return rows[0].error
+    out = {}
+    for r in rows:
+        out.setdefault(r.row_ix, {})[r.col_ix] = r.raw
+    return [[row[c] for c in sorted(row)] for _, row in sorted(out.items())]
+
+
+@pytest.mark.parametrize("content,rows", [
+    (b"a,b\n1,2\n", [["a", "b"], ["1", "2"]]),
+    (b"\xef\xbb\xbfa;b\r\n\"x;y\";\"say \"\"hi\"\"\"\r\n;\r\n1,5;2", [["a", "b"], ["x;y", 'say "hi"'], ["1,5", "2"]]),
+    (b"a\tb\n\"two\nlines\"\t\n", [["a", "b"], ["two\nlines", ""]]),
+    (b",a\n,1\n", [["", "a"], ["", "1"]]),
+    (b'5" pipe,x\n6,y', [['5" pipe', "x"], ["6", "y"]]),
+    (b"only\none", [["only"], ["one"]]),
+    (b" \n,\n", "ValueError: no tabular data"),
+    (b"a,\xff", "UnicodeDecodeError: not UTF-8"),
+    (b"a;b\n" + b"x,y,z;1\n" * 3000, [["a", "b"]] + [["x,y,z", "1"]] * 3000),
+])
+def test_csv(spark, content, rows):
+    assert csv_rows(spark, content) == rows
+
+
+def test_native_dates_of_a_workbook(spark):
+    import io
+    import zipfile
+
+    book = workbook([("S", "visible", [["When"]])])
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            text = old.read(name)
+            if name == "xl/worksheets/sheet1.xml":
+                cells = b"".join(b'<c r="A%d" s="%d"><v>%s</v></c>' % (2 + i, s, v) for i, (s, v) in enumerate([(0, b"46023"), (1, b"46023"), (2, b"46023.5"), (3, b"46023"), (1, b"59")]))
+                text = text.replace(b"</sheetData>", b"<row>" + cells.replace(b"<c ", b"</row><row><c ")[11:] + b"</row></sheetData>")
+            new.writestr(name, text)
+        new.writestr("xl/styles.xml", '''<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts><numFmt numFmtId="164" formatCode="dd/mm/yyyy hh:mm"/><numFmt numFmtId="165" formatCode="0.00 &quot;days&quot;"/></numFmts>
+<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>''')
+    files = spark.createDataFrame([("in/a.xlsx", bytearray(out.getvalue()))], "path string, content binary")
+    assert [r.raw for r in S.read_xlsx_datasets(files).orderBy("row_ix").collect()] == ["When", "46023", "2026-01-01T00:00:00", "2026-01-01T12:00:00", "46023", "1900-02-28T00:00:00"]
+
+
 def test_publish_never_overwrites(spark, tmp_path):
     frame = spark.range(3)
     publish_tables({"one": frame}, str(tmp_path / "out"))
