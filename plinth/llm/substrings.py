@@ -241,7 +241,9 @@ def _rows(schema: str, rows: list[tuple]) -> pa.Table:
 
 
 def _block(table: pa.Table) -> Block:
-    return Block(table["doc_id"].to_pylist(), [t or b"" for t in table["raw"].to_pylist()])
+    """The block in one order, however its rows arrive: the steps count on finding the same anchors and strings."""
+    rows = sorted(zip(table["doc_id"].to_pylist(), (t or b"" for t in table["raw"].to_pylist()), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    return Block([i for i, _ in rows], [t for _, t in rows])
 
 
 def _notes(table: pa.Table, kind: int) -> dict[int, bytes]:

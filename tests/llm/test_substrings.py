@@ -4,6 +4,7 @@ import io
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plinth.llm import substrings as S
@@ -78,6 +79,15 @@ def test_anchors_do_not_depend_on_pieces(monkeypatch):
     assert len(whole) == sum(max(0, len((t or "").encode()) - 49) for _, t in rows)
 
 
+def test_blocks_do_not_depend_on_the_order_of_rows(monkeypatch):
+    monkeypatch.setattr(S, "PIECE_BYTES", 333)
+    rows = corpus(4)
+    shuffled = random.Random(5).sample(rows, len(rows))
+    blocks = [S._block(pa.table({"doc_id": pa.array([d for d, _ in r], pa.int64()), "raw": pa.array([None if t is None else t.encode() for _, t in r], pa.binary())})) for r in (rows, shuffled)]
+    found = [b.strings(b.once(np.arange(len(b.start)))[0]).tobytes() for b in blocks]
+    assert found[0] == found[1] and blocks[0].ids == blocks[1].ids
+
+
 def test_rounds_give_suffix_order_and_common_prefixes():
     rng = np.random.default_rng(2)
     rows = rng.integers(97, 99, size=(200, 12)).astype(np.uint8)
