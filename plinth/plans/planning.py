@@ -281,10 +281,11 @@ WHERE CASE kind WHEN 'text' THEN item_ix IN (0, 4, 5) ELSE item_ix IN (1, 2, 3)
 
 @query("compile_render_ops", r"""
 WITH b AS (SELECT p.*, a.action FROM {pl_bindings} p JOIN {pl_unique} a ON a.request_id = p.request_id AND a.number = p.number AND a.slot_id = p.slot_id),
- v AS (SELECT b.request_id, b.number, b.slot_id, b.shape_id, replace(string_agg(x.value, chr(1) ORDER BY CASE WHEN x.pointer = b.path_two THEN 1 ELSE 0 END, try_cast(split_part(x.pointer, '/', 3) AS INT), x.pointer), chr(1), CASE WHEN b.mode = 'paragraphs' THEN '|' ELSE ' / ' END) AS text
-   FROM b JOIN {pl_values} x ON x.request_id = b.request_id AND x.number = b.number AND x.slot_id = b.slot_id
-     AND (x.pointer IN (b.path_one, b.path_two) OR (b.mode = 'paragraphs' AND regexp_matches(x.pointer, '^' || b.path_one || '/[0-9]+$')))
-   WHERE x.value <> '' AND b.action NOT IN ('clear', 'keep') GROUP BY b.request_id, b.number, b.slot_id, b.shape_id, b.mode)
+ x AS (SELECT request_id, number, slot_id, pointer, value, regexp_replace(pointer, '/[0-9]+$', '') AS parent, try_cast(regexp_extract(pointer, '/([0-9]+)$', 1) AS INT) AS item FROM {pl_values} WHERE value <> ''),
+ w AS (SELECT request_id, number, slot_id, shape_id, mode, unnest([path_one, path_two]) AS path, unnest([0, 1]) AS path_ix FROM b WHERE action NOT IN ('clear', 'keep')),
+ h AS (SELECT w.*, x.value, 0 AS item FROM w JOIN x ON x.request_id = w.request_id AND x.number = w.number AND x.slot_id = w.slot_id AND x.pointer = w.path
+   UNION ALL SELECT w.*, x.value, x.item FROM w JOIN x ON x.request_id = w.request_id AND x.number = w.number AND x.slot_id = w.slot_id AND x.parent = w.path WHERE w.mode = 'paragraphs' AND x.item IS NOT NULL),
+ v AS (SELECT request_id, number, slot_id, shape_id, string_agg(value, CASE WHEN mode = 'paragraphs' THEN '|' ELSE ' / ' END ORDER BY path_ix, item) AS text FROM h GROUP BY request_id, number, slot_id, shape_id, mode)
 SELECT b.request_id, b.number, b.slot_id, b.shape_id, b.renderer,
   CASE WHEN b.action IN ('clear', 'keep') OR b.renderer <> 'text' THEN b.action WHEN v.text IS NULL THEN b.missing_action ELSE 'replace' END AS action,
   CASE WHEN b.renderer = 'text' THEN v.text END AS text

@@ -130,6 +130,33 @@ def test_image_assignment_matches_brute_force(spark):
     assert {r.id: r.number for r in P.assign_images_to_slides(frame).collect()} == brute_images(rows)
 
 
+def plain_distance(material, purpose, name):
+    import re
+    spots = [m.start() for m in re.finditer(re.escape(name), material)]
+    stems = {w[:3] for w in re.findall(r"[a-zа-яё]{3,}", purpose)} - P.COMMON_STEMS
+    starts = {s: [m.start() for m in re.finditer(rf"\b{s}", material)] for s in stems}
+    return sum(min([P.FAR_NAME, *(abs(a - b) for a in starts[s] for b in spots)]) for s in stems)
+
+
+def test_identity_distances(spark):
+    import random
+    rng = random.Random(5)
+    pool = ["team", "Teamwork", "photo.png", "Anna", "отчёт", "про", "a-b", "x1 y", "pic.png", "with", "\n", "(a)", "ёлка", "te", "sub_team"]
+    requests = [(f"r{i}", " ".join(rng.choices(pool, k=4)), " ".join(rng.choices(pool, k=rng.randrange(60)))) for i in range(8)]
+    images = [(r[0], k, f"i{k}", n, f"{n}.stored") for r in requests for k, n in enumerate(["photo.png", "PIC.png", "(a)"])]
+    slides = [(r[0], n, "text", " ".join(rng.choices(pool, k=5))) for r in requests for n in (1, 2, 40)]
+    frames = [spark.createDataFrame(x, s) for x, s in (
+        (requests, "request_id string, brief string, content_package string"), (images, "request_id string, image_ix int, id string, original_name string, asset_ref string"),
+        (slides, "request_id string, number int, content_type string, purpose string"), ([("r0", "content_001", 1, "content", "photo.png")], "request_id string, source_id string, seq int, kind string, text string"),
+        ([("r0", 1, "content_001")], "request_id string, number int, source_id string"))]
+    scores = P.image_slide_scores(frames[0], frames[3], frames[1], frames[2], frames[4]).collect()
+    texts = {r[0]: f"{r[1]}\n{r[2]}".lower() for r in requests}
+    names, wishes = {(i[0], i[2]): i[3].lower() for i in images}, {(s[0], s[1]): s[3].lower() for s in slides}
+    assert len(scores) == 72 and {r.number for r in scores} == {1, 2, 40}
+    for r in scores:
+        assert r.identity_distance == plain_distance(texts[r.request_id], wishes[r.request_id, r.number], names[r.request_id, r.id]), r
+
+
 def test_ground_images(spark):
     images = spark.createDataFrame([("r", 0, "a", "team.png"), ("r", 1, "b", "anna.png"), ("r", 2, "c", "rest.png")], "request_id string, image_ix int, id string, original_name string")
     slots = spark.createDataFrame(
