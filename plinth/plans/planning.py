@@ -285,7 +285,7 @@ WITH b AS (SELECT p.*, a.action FROM {pl_bindings} p JOIN {pl_unique} a ON a.req
  w AS (SELECT request_id, number, slot_id, shape_id, mode, unnest([path_one, path_two]) AS path, unnest([0, 1]) AS path_ix FROM b WHERE action NOT IN ('clear', 'keep')),
  h AS (SELECT w.*, x.value, 0 AS item FROM w JOIN x ON x.request_id = w.request_id AND x.number = w.number AND x.slot_id = w.slot_id AND x.pointer = w.path
    UNION ALL SELECT w.*, x.value, x.item FROM w JOIN x ON x.request_id = w.request_id AND x.number = w.number AND x.slot_id = w.slot_id AND x.parent = w.path WHERE w.mode = 'paragraphs' AND x.item IS NOT NULL),
- v AS (SELECT request_id, number, slot_id, shape_id, string_agg(value, CASE WHEN mode = 'paragraphs' THEN '|' ELSE ' / ' END ORDER BY path_ix, item) AS text FROM h GROUP BY request_id, number, slot_id, shape_id, mode)
+ v AS (SELECT request_id, number, slot_id, shape_id, CASE WHEN mode = 'paragraphs' THEN array_to_string(list(value ORDER BY path_ix, item), '|') ELSE array_to_string(list(value ORDER BY path_ix, item), ' / ') END AS text FROM h GROUP BY request_id, number, slot_id, shape_id, mode)
 SELECT b.request_id, b.number, b.slot_id, b.shape_id, b.renderer,
   CASE WHEN b.action IN ('clear', 'keep') OR b.renderer <> 'text' THEN b.action WHEN v.text IS NULL THEN b.missing_action ELSE 'replace' END AS action,
   CASE WHEN b.renderer = 'text' THEN v.text END AS text
