@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions.scalars import strip
-from plinth.operators.layout import flatten_shapes
+from plinth.issues import union_all
+from plinth.session import cut_lineage
 
 # Fixed values.
 MANIFEST_VERSION = "3.0"
@@ -14,7 +15,6 @@ SLIDE_CLASSES = [
     "cover", "agenda", "section", "content_text", "content_visual", "comparison", "process", "timeline",
     "metrics", "table", "chart", "quote", "profile", "closing", "other",
 ]
-DEPTH = 5
 _TABLE = "struct<rows:int,columns:int,cells:array<struct<row:int,column:int,text:string>>>"
 _CHART = "struct<title:string,chart_type:string,category_labels:array<string>,series_names:array<string>>"
 _FIELDS = (
@@ -23,10 +23,8 @@ _FIELDS = (
 )
 
 
-def element_type(depth: int = DEPTH) -> str:
-    nested = f",children:array<{element_type(depth - 1)}>" if depth > 1 else ""
-    return f"struct<{_FIELDS}{nested}>"
-
+# An element; its children stay JSON text until their level is read, so elements may nest as deep as they like.
+ELEMENT = f"struct<{_FIELDS},children:string>"
 
 STRUCTURE = (
     "struct<structure_id:string,kind:string,rows:int,columns:int,header_rows:int,shape_ids:array<int>,content_shape_ids:array<int>,"
@@ -34,7 +32,7 @@ STRUCTURE = (
     "items:array<struct<index:int,fields:map<string,int>>>,fields:array<struct<field_id:string,shape_ids:array<int>>>>"
 )
 SCHEMA = (
-    f"slide_number int, slide_id bigint, layout_name string, elements array<{element_type()}>, structures array<{STRUCTURE}>,"
+    f"slide_number int, slide_id bigint, layout_name string, elements array<{ELEMENT}>, structures array<{STRUCTURE}>,"
     "theme_fonts array<string>, palette array<string>, warnings array<string>,"
     "vlm struct<status:string,classification:string,tags:array<string>,description:string,confidence:double>"
 )
@@ -72,8 +70,28 @@ def read_slide_metadata(raw: DataFrame, manifests: DataFrame) -> tuple[DataFrame
 
 
 def shapes_of(slides: DataFrame) -> DataFrame:
-    flat = flatten_shapes(slides.select("deck_id", "slide_number", "elements"))
-    return flat.select("*", "box.*").drop("box")
+    """Leaves of the nested ``elements``, depth first, with ``in_group, parent_shape_id, depth, path`` and the box.
+
+    A round reads one level of all slides, until none has children.
+    """
+    keys = ["deck_id", "slide_number"]
+    level = slides.select(
+        *keys, F.lit(False).alias("in_group"), F.lit(None).cast("int").alias("parent_shape_id"), F.array().cast("array<int>").alias("path"), F.posexplode("elements").alias("pos", "e")
+    )
+    fields = [n for n in slides.schema["elements"].dataType.elementType.fieldNames() if n != "children"]
+    frames = []
+    while True:
+        path = F.concat("path", F.array("pos"))
+        frames.append(level.filter("e.type <> 'group'").select(
+            *keys, *[F.col("e")[n].alias(n) for n in fields], "in_group", "parent_shape_id", F.lit(len(frames)).alias("depth"), path.alias("path")
+        ))
+        inside = level.filter("e.children is not null").select(
+            *keys, (F.col("in_group") | (F.col("e.type") == "group")).alias("in_group"), F.col("e.shape_id").alias("parent_shape_id"), path.alias("path"),
+            F.posexplode(F.from_json("e.children", f"array<{ELEMENT}>")).alias("pos", "e"),
+        )
+        level = cut_lineage(inside)
+        if level.isEmpty():
+            return union_all(frames).select("*", "box.*").drop("box")
 
 
 def members_of(slides: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from plinth.operators import texts as O
 from plinth.operators import visuals as V
 from plinth.plans.archives import workbook
 from plinth.sources import files as S
+from plinth.sources import metadata as M
 from plinth.sources.sinks import publish_tables
 
 
@@ -221,6 +222,22 @@ def test_native_dates_of_a_workbook(spark):
     assert [r.raw for r in S.read_xlsx_datasets(files).orderBy("row_ix").collect()] == ["When", "46023", "2026-01-01T00:00:00", "2026-01-01T12:00:00", "46023", "1900-02-28T00:00:00"]
 
 
+def test_slide_files_nest_without_limit(spark, tmp_path):
+    import json
+    element = {"shape_id": 9, "type": "text", "text": "deep", "box": {"x": 0.1, "y": 0.2, "width": 0.3, "height": 0.4}}
+    for n in range(8):
+        element = {"shape_id": n, "type": "group", "children": [element, {"shape_id": 100 + n, "type": "text", "text": "side"}]}
+    folder = tmp_path / "deck-a" / "slides" / "1"
+    folder.mkdir(parents=True)
+    structure = {"structure_id": "grid_0", "kind": "grid", "cells": [{"row": 0, "column": 1, "shape_ids": [9]}], "decoration_shape_ids": [3]}
+    (folder / "metadata.json").write_text(json.dumps({"slide_number": 1, "elements": [element], "structures": [structure], "vlm": {"status": "ok", "classification": "cover"}}))
+    manifests = spark.createDataFrame([("deck-a", "3.0"), ("deck-b", "2.0")], "deck_id string, schema_version string")
+    slides, issues = M.read_slide_metadata(M.read_slide_files(spark, str(tmp_path)), manifests)
+    assert {(r.deck_id, r.code) for r in issues.collect()} == {("deck-b", "unsupported_manifest")}
+    assert {(r.shape_id, r.depth, r.parent_shape_id) for r in M.shapes_of(slides).collect()} == {(9, 8, 0)} | {(100 + n, 8 - n, n) for n in range(8)}
+    assert {(r.shape_id, r.role, r.row, r.col) for r in M.members_of(slides).collect()} == {(9, "content", 0, 1), (3, "decoration", None, None)}
+
+
 def test_publish_never_overwrites(spark, tmp_path):
     frame = spark.range(3)
     publish_tables({"one": frame}, str(tmp_path / "out"))
