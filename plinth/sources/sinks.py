@@ -1,26 +1,43 @@
-"""Publication of results. A target that exists is never overwritten."""
+"""Publication of results. A target that exists is never overwritten, and all tables appear or none."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
 def publish_tables(tables: dict[str, DataFrame], folder: str, partition_by: dict[str, list[str]] | None = None) -> None:
-    """Write every table below ``folder``, or none when one of the targets is already there.
+    """Write every table below ``folder``, which must not hold any of them yet.
 
-    Each write commits as a whole; targets are checked before the first one starts.
+    Tables are written to a staging folder beside ``folder`` first and moved into place once all are complete. When a
+    write fails the staging folder is removed and ``folder`` is as before; when a move fails, tables moved before it are taken out again.
     """
     if not tables:
         return
     spark = next(iter(tables.values())).sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    targets = {name: f"{folder.rstrip('/')}/{name}" for name in tables}
-    for target in targets.values():
-        path = jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(conf).exists(path):
-            raise FileExistsError(f"output already exists: {target}")
-    for name, df in tables.items():
-        writer = df.write.mode("errorifexists")
-        keys = (partition_by or {}).get(name)
-        (writer.partitionBy(*keys) if keys else writer).parquet(targets[name])
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    home = path(folder.rstrip("/"))
+    store = home.getFileSystem(context._jsc.hadoopConfiguration())
+    staging = path(f"{folder.rstrip('/')}.staging-{uuid.uuid4().hex}")
+    for name in tables:
+        if store.exists(path(home, name)):
+            raise FileExistsError(f"output already exists: {path(home, name)}")
+    moved: list[str] = []
+    try:
+        for name, df in tables.items():
+            writer = df.write.mode("errorifexists")
+            keys = (partition_by or {}).get(name)
+            (writer.partitionBy(*keys) if keys else writer).parquet(path(staging, name).toString())
+        store.mkdirs(home)
+        for name in tables:
+            if store.exists(path(home, name)) or not store.rename(path(staging, name), path(home, name)):
+                raise FileExistsError(f"output could not be published: {path(home, name)}")
+            moved.append(name)
+    except BaseException:
+        for name in moved:
+            store.delete(path(home, name), True)
+        raise
+    finally:
+        store.delete(staging, True)

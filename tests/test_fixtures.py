@@ -243,4 +243,14 @@ def test_publish_never_overwrites(spark, tmp_path):
     publish_tables({"one": frame}, str(tmp_path / "out"))
     with pytest.raises(FileExistsError):
         publish_tables({"two": frame, "one": frame}, str(tmp_path / "out"))
-    assert not (tmp_path / "out" / "two").exists()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"] and [p.name for p in (tmp_path / "out").iterdir()] == ["one"]
+    assert spark.read.parquet(str(tmp_path / "out" / "one")).count() == 3
+
+
+def test_publish_all_or_nothing(spark, tmp_path):
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("string").alias("x"))
+    with pytest.raises(Exception, match="no"):
+        publish_tables({"one": spark.range(3), "two": broken}, str(tmp_path / "out"))
+    assert not list(tmp_path.iterdir())
+    publish_tables({"one": spark.range(4), "two": spark.range(5).withColumn("k", F.col("id") % 2)}, str(tmp_path / "out"), {"two": ["k"]})
+    assert [spark.read.parquet(str(tmp_path / "out" / n)).count() for n in ("one", "two")] == [4, 5]
