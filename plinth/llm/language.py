@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.labelled import held_out
+from plinth.session import cut_lineage
 
 UNDETERMINED = "und"
 #: N-gram lengths in bytes, and how many ranks a profile has.
 LENGTHS = (1, 2, 3, 4)
 PROFILE = 400
+#: Parts in which the n-grams of a language are ranked first.
+PARTS = 16
 #: Languages whose profiles (some 10 KB each) are broadcast at once; more languages are compared in blocks.
 LANGUAGES_AT_ONCE = 2_000
 #: Letters and digits apart: ASCII letters and all bytes of other characters stay, the rest parts words.
@@ -111,9 +114,15 @@ def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def profiles(docs: DataFrame, ranks: int = PROFILE) -> DataFrame:
-    """``lang, rank, gram``: the ``ranks`` most frequent n-grams of each language. Ties by code."""
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return gram_counts(docs).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ranks).select("lang", (F.col("rank") - 1).alias("rank"), "gram")
+    """``lang, rank, gram``, stored: the ``ranks`` most frequent n-grams of each language. Ties by code.
+
+    The n-grams of a language are ranked in PARTS first, so a task that ranks a whole language sees the best of each.
+    """
+    order = [F.desc("n"), "gram"]
+    parts = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(PARTS))).orderBy(*order)
+    best = gram_counts(docs).withColumn("rank", F.row_number().over(parts)).filter(F.col("rank") <= ranks)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= ranks)
+    return cut_lineage(ranked.select("lang", (F.col("rank") - 1).alias("rank"), "gram"))
 
 
 class Profiles:
