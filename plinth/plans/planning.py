@@ -223,7 +223,20 @@ SELECT request_id, number, CAST(1 AS INT) AS slot_ix, CASE WHEN number % 3 = 0 T
 """)
 
 
-@query("ground_images")
+@query("ground_images", r"""
+WITH RECURSIVE im AS (SELECT request_id, image_ix, id, lower(original_name) AS full_name, regexp_replace(lower(regexp_extract(original_name, '[^/\\]*$')), '(.)\.[^.]*$', '\1') AS stem FROM {request_images}),
+ hits AS (SELECT s.request_id, s.number, s.slot_id, list(i.id ORDER BY i.image_ix) AS ids FROM {image_slots} s JOIN im i ON i.request_id = s.request_id
+   WHERE contains(lower(s.text), i.full_name) OR (i.stem <> '' AND contains(lower(s.text), i.stem)) GROUP BY ALL),
+ turns AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY number) AS k FROM hits),
+ served AS (SELECT DISTINCT request_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS INT) AS number, CAST(NULL AS VARCHAR) AS slot_id, CAST(NULL AS VARCHAR) AS id, CAST([] AS VARCHAR[]) AS taken FROM turns
+   UNION ALL SELECT t.request_id, t.k, t.number, t.slot_id, list_filter(t.ids, lambda x: NOT list_contains(s.taken, x))[1],
+     list_concat(s.taken, list_filter(t.ids, lambda x: NOT list_contains(s.taken, x))[1:1]) FROM served s JOIN turns t ON t.request_id = s.request_id AND t.k = s.k + 1),
+ named AS (SELECT request_id, number, slot_id, id FROM served WHERE id IS NOT NULL),
+ ri AS (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY image_ix) AS place FROM im i WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.request_id = i.request_id AND n.id = i.id)),
+ rs AS (SELECT request_id, number, slot_id, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN regexp_matches(lower(concat_ws(' ', purpose, slot_id)), 'photo|portrait|avatar|портрет|profile|профил') THEN 0 ELSE 1 END, number, slot_ix) AS place
+   FROM {image_slots} s WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.request_id = s.request_id AND n.number = s.number AND n.slot_id = s.slot_id))
+SELECT request_id, id, number, slot_id FROM named UNION ALL SELECT ri.request_id, ri.id, rs.number, rs.slot_id FROM ri JOIN rs ON rs.request_id = ri.request_id AND rs.place = ri.place
+""")
 def _(t: Tables):
     return P.ground_images(t("request_images").select("request_id", "image_ix", "id", "original_name"), t("image_slots"))
 
