@@ -69,10 +69,8 @@ def dataset_references(text: Column) -> Column:
 
 
 def image_references(text: Column) -> Column:
-    quoted = F.regexp_extract_all(text, F.lit(IMAGE_REFERENCE), F.lit(1))
-    bare = F.regexp_extract_all(text, F.lit(IMAGE_REFERENCE), F.lit(2))
-    both = F.zip_with(quoted, bare, lambda q, b: F.when(q != "", q).otherwise(b))
-    return F.array_distinct(F.transform(both, strip))
+    found = F.regexp_extract_all(text, F.lit(IMAGE_REFERENCE), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda name: strip(F.regexp_replace(name, "^[`\"'](.*)[`\"']$", "$1"))))
 
 
 def requested_visual(text: Column, asset_id: Column) -> Column:
