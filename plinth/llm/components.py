@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.session import cut_lineage
@@ -27,3 +27,24 @@ def least_labels(edges: DataFrame, left: str = "a", right: str = "b") -> DataFra
         labels = moved.select("vertex", "label")
         if moved.filter("label <> was").isEmpty():
             return labels
+
+
+def text_hash() -> Column:
+    """Names the text of a row."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of ``docs`` (``doc_id``, ``text``) per group of texts, the least by (``doc_id``, text hash), nulls last.
+
+    ``groups``: ``text_hash, root``; a text without a row there is a group of its own. Rows equal in both, and only these,
+    are told apart by their other columns, so a rerun keeps the same row. Columns stay as they are.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_hash")).groupBy("_hash", "_id").agg(F.count(F.lit(1)).alias("_n"))
+    first = rows.groupBy("_hash").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "_n")).alias("first"))
+    rooted = first.join(groups.select(F.col("text_hash").alias("_hash"), "root"), "_hash", "left").withColumn("root", F.coalesce("root", "_hash"))
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._hash", "first._n")
+    found = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")))
+    place = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.to_json(F.struct(*docs.columns))))
+    several = found.filter("_n > 1").withColumn("_place", place).filter("_place = 1")
+    return found.filter("_n = 1").select(*docs.columns).unionByName(several.select(*docs.columns))
