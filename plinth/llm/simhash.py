@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.components import least_labels
+from plinth.llm.components import keep_least, least_labels, text_hash
 from plinth.session import cut_lineage
 
 RADIUS = 3
@@ -228,11 +228,9 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its group; of rows that share that id one is kept.
-
-    Columns stay as they are. A row with a null ``doc_id`` cannot be named by a group and stays.
-    """
-    groups = near_groups(docs, width)
-    chosen = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of ``docs`` per group, the least by (``doc_id``, text hash), nulls last. Columns stay as they are."""
+    found = cut_lineage(fingerprints(docs.select(text_hash().alias("doc_id"), "text"), width).distinct())
+    labels = least_labels(fingerprint_links(found.select("fp").distinct())).withColumnRenamed("vertex", "fp")
+    rooted = found.join(labels, "fp", "left").withColumn("root", F.coalesce("label", "fp"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
+    return keep_least(docs, rooted.join(least, "root").select(F.col("doc_id").alias("text_hash"), F.col("least").alias("root")))

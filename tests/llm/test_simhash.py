@@ -102,3 +102,9 @@ def test_planes_round_trip():
     stored = simhash.planes(values)
     back = [sum(1 << (63 - b) for b in range(64) if i in simhash.lanes(stored[b])) for i in range(5)]
     assert back == values.tolist()
+
+
+def test_repeated_and_null_ids_lose_no_text(spark):
+    rows = [(7, "alpha beta gamma delta"), (7, "some other words of this id"), (7, "some other words of this id"), (None, "lone text here now"), (None, "lone text here now"), (9, "alpha beta gamma delta")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "lone text here now"), (7, "alpha beta gamma delta"), (7, "some other words of this id")]
