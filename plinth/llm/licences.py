@@ -47,6 +47,7 @@ NOTICES = {
 TAGS = ("spdx license identifier", "license expression")
 BASE_SURE, TAG_SURE = 0.8, 0.95
 _TAG = re.compile(r"(?:spdx[-_ ]license[-_ ]identifier|license[-_ ]expression)\s*:[ \t]*([^\r\n]*)", re.IGNORECASE)
+_AFTER = re.compile("[;,\"'#]")
 _TOKEN = re.compile(r"\s*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+:-]*))")
 #: How strongly the operators of an expression bind.
 BINDS = {"or": 1, "and": 2, "with": 3}
@@ -139,7 +140,11 @@ def evaluate(steps: list[str]) -> tuple[list[str], bool] | None:
 
 def _expression(rest: str) -> str:
     """What follows a tag on its line, without the end of a comment."""
-    return re.sub(r"\s*(?:\*/|-->|[;,\"'#].*)?\s*$", "", rest)
+    end = _AFTER.search(rest)
+    if end:
+        return rest[: end.start()].rstrip()
+    rest = rest.rstrip()
+    return rest.removesuffix("*/" if rest.endswith("*/") else "-->").rstrip()
 
 
 def scan_text(text: str | None) -> tuple[int, list[Finding], list[bool]]:

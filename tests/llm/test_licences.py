@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -89,3 +90,16 @@ def test_tags(spark):
     got = {r.doc_id: (r.labels, r.base_labels, r.permissive) for r in L.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("bsd,gpl,mit", "", True), 2: ("apache", "", True), 3: ("mit", "mit", None), 4: ("isc,mpl", "", False)}
     assert list(itertools.chain(L.scan_text(None))) == [0, [], []]
+
+
+def test_long_runs_of_blanks_take_linear_time():
+    blanks = " " * 1_000_000
+    for text in (f"SPDX-License-Identifier: MIT{blanks}x", f"SPDX-License-Identifier:{blanks}MIT{blanks}", f"License-Expression{blanks}: MIT{blanks}*/", f"SPDX-License-Identifier: {'( ' * 300_000}"):
+        began = time.process_time()
+        L.scan_text(text)
+        assert time.process_time() - began < 5
+
+
+def test_ends_of_comments():
+    for rest, want in (("MIT */", "MIT"), ("MIT --> ", "MIT"), ("MIT ; x */", "MIT"), ("MIT", "MIT"), ("", ""), ("MIT # x", "MIT"), ("MIT*/ -->", "MIT*/")):
+        assert L._expression(rest) == want
