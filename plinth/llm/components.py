@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.session import cut_lineage
@@ -40,11 +40,12 @@ def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
     ``groups``: ``text_hash, root``; a text without a row there is a group of its own. Rows equal in both, and only these,
     are told apart by their other columns, so a rerun keeps the same row. Columns stay as they are.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_hash")).groupBy("_hash", "_id").agg(F.count(F.lit(1)).alias("_n"))
-    first = rows.groupBy("_hash").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "_n")).alias("first"))
-    rooted = first.join(groups.select(F.col("text_hash").alias("_hash"), "root"), "_hash", "left").withColumn("root", F.coalesce("root", "_hash"))
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._hash", "first._n")
-    found = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")))
-    place = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.to_json(F.struct(*docs.columns))))
-    several = found.filter("_n > 1").withColumn("_place", place).filter("_place = 1")
-    return found.filter("_n = 1").select(*docs.columns).unionByName(several.select(*docs.columns))
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"))
+    rows = row.groupBy("hash", "id").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("hash").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "n")).alias("first"))
+    rooted = first.join(groups.select(F.col("text_hash").alias("hash"), "root"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("c_id"), F.col("first.hash").alias("c_hash"), F.col("first.n").alias("n"))
+    found = row.join(chosen, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("hash") == F.col("c_hash")))
+    # Of rows with one id and text the least by the other columns, met in parts first.
+    several = found.filter("n > 1").groupBy("id", "hash").agg(F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row"))
+    return found.filter("n = 1").select("row.*").unionByName(several.select("row.*"))

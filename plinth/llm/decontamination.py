@@ -246,7 +246,10 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without contaminated rows, columns as they are. Rows are told apart by ``doc_id`` and text."""
-    bad = contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
-    return docs.join(bad, same, "left_anti")
+    """``docs`` without contaminated rows, columns as they are. Rows are told apart by ``doc_id`` and text.
+
+    Null and empty texts stay; of repeated rows all stay or all go; an empty ``docs`` gives no rows, empty ``items`` all of them.
+    """
+    bad = contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash")).distinct()
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    return row.join(bad, F.col("id").eqNullSafe(F.col("b_id")) & (F.col("hash") == F.col("b_hash")), "left_anti").select("row.*")
