@@ -7,7 +7,7 @@ slide, and the number of bands per slide is bounded by the slide size over the t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.numbering import renumber, renumber_by
@@ -109,17 +109,24 @@ def _cluster_starts(centres: Column, tolerance: Column) -> Column:
 def cluster_axis(shapes: DataFrame, axis: str, tolerances: DataFrame) -> DataFrame:
     """Add ``centre`` and ``cluster`` along ``axis``. ``tolerances``: ``deck_id, slide_number, tolerance``.
 
-    Shapes with one centre always share a cluster, so each slide is reduced to its distinct centres
-    (at most one per coordinate step) before the ordered walk.
+    The walk over a slide's centres is cut where it can be cut: a centre further than the tolerance from the one on its
+    left starts a cluster whatever came before, as the running mean never lies right of the last centre. Such gaps lie
+    between stretches of one tolerance each, so a slide's own window has one row per stretch, and the pieces in between
+    are walked apart, in tasks of their own. Shapes with one centre always share a cluster and count as one step.
     """
     placed = shapes.withColumn("centre", center(axis))
-    distinct = placed.groupBy(*SLIDE, "centre").agg(F.count(F.lit(1)).alias("n"))
-    walks = distinct.groupBy(*SLIDE).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("centre").alias("c"), "n"))).alias("centres")
+    stretch = F.floor(F.col("centre") / F.greatest("tolerance", F.lit(1e-9))).alias("stretch")
+    steps = placed.join(tolerances, SLIDE).groupBy(*SLIDE, "tolerance", stretch, "centre").agg(F.count(F.lit(1)).alias("n"))
+    held = steps.groupBy(*SLIDE, "tolerance", "stretch").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("centre").alias("c"), "n"))).alias("centres"), F.min("centre").alias("first"), F.max("centre").alias("last")
     )
-    starts = walks.join(tolerances, SLIDE).select(
-        *SLIDE, _cluster_starts(F.col("centres"), F.col("tolerance")).alias("starts")
+    along = Window.partitionBy(*SLIDE).orderBy("stretch")
+    cut = F.coalesce(F.col("first") - F.lag("last").over(along) > F.col("tolerance"), F.lit(True))
+    pieces = held.withColumn("cut", cut.cast("int")).withColumn("piece", F.sum("cut").over(along)).groupBy(*SLIDE, "tolerance", "piece").agg(
+        F.array_sort(F.collect_list(F.struct("stretch", "centres"))).alias("held")
     )
+    centres = F.flatten(F.transform("held", lambda h: h["centres"]))
+    starts = pieces.select(*SLIDE, _cluster_starts(centres, F.col("tolerance")).alias("starts")).groupBy(*SLIDE).agg(F.flatten(F.collect_list("starts")).alias("starts"))
     index = F.size(F.filter("starts", lambda s: s <= F.col("centre"))) - 1
     return placed.join(starts, SLIDE).withColumn("cluster", index.cast("int")).drop("starts")
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from plinth.functions.numbering import ordered_text
 from plinth.plans.archives import document_of, workbook_of
 from plinth.plans.registry import Tables, define, query
+from plinth.session import shared_folder
 from plinth.sources import files as S
 from plinth.sources import metadata as M
+from plinth.sources import sinks
 
 
 def _lines(t: Tables, separator: str) -> DataFrame:
@@ -135,10 +137,15 @@ def _asset_json(t: Tables) -> DataFrame:
     rows = F.transform(F.array_sort(F.collect_list(F.struct("row_ix", row.alias("r")))), lambda x: x["r"])
     key = F.col("o_custkey")
     told = t("file_rows").groupBy("o_custkey").agg(rows.alias("rows"))
-    columns = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(label).alias("label"), F.lit(kind).alias("type")) for k, label, kind in (("day", "Day", "date"), ("price", "Price", "number"))])
+    kinds = F.when(key % 10 == 6, F.lit("money")).otherwise("number")
+    columns = F.array(*[
+        F.struct(F.lit(k).alias("key"), F.lit(label).alias("label"), kind.alias("type"), extra.alias("color"))
+        for k, label, kind, extra in (("day", "Day", F.lit("date"), F.when(key % 4 == 1, F.lit("red"))), ("price", "Price", kinds, F.lit(None).cast("string")))
+    ])
     asset = F.struct(
         F.when(key % 7 == 1, F.lit("-bad")).otherwise(F.format_string("set-%d", "o_custkey")).alias("id"), F.when(key % 5 == 2, F.lit("chart3d")).otherwise("dataset").alias("kind"),
         F.lit("Orders").alias("title"), columns.alias("columns"), F.col("rows").alias("rows"), F.when(key % 6 == 3, F.lit("x")).alias("colour"),
+        F.when(key % 8 == 5, F.struct(F.lit("loud").alias("mode"), F.lit(None).cast("string").alias("kind"))).alias("visual_hint"), F.when(key % 9 == 0, F.lit(5)).alias("provenance"),
     )
     plain = F.to_json(asset)
     text = F.when(key % 3 == 0, plain).when(key % 3 == 1, F.concat(F.lit("["), plain, F.lit("]"))).otherwise(F.concat(F.lit('{"structured_assets":['), plain, F.lit("]}")))
@@ -146,10 +153,18 @@ def _asset_json(t: Tables) -> DataFrame:
 
 
 @query("read_json_assets", r"""
-WITH k AS (SELECT DISTINCT o_custkey AS k FROM {file_rows})
-SELECT CAST(k AS VARCHAR) AS request_id, unnest(list_filter([CASE WHEN k % 11 = 4 THEN 'invalid_json' END, CASE WHEN k % 11 <> 4 AND k % 5 = 2 THEN 'unknown_kind' END,
-  CASE WHEN k % 11 <> 4 AND k % 5 <> 2 AND k % 6 = 3 THEN 'unknown_field' END, CASE WHEN k % 11 <> 4 AND k % 7 = 1 THEN 'invalid_asset_id' END], lambda c: c IS NOT NULL)) AS code FROM k
-UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'row ' || row_ix || ' ' || a || ' ' || b FROM {file_rows} WHERE o_custkey % 11 <> 4 AND o_custkey % 5 <> 2
+WITH k AS (SELECT DISTINCT o_custkey AS k FROM {file_rows}), ok AS (SELECT k FROM k WHERE k % 11 <> 4), known AS (SELECT k FROM ok WHERE k % 5 <> 2),
+found AS (
+  SELECT k, 'invalid_json' AS code, '' AS path FROM k WHERE k % 11 = 4
+  UNION ALL SELECT k, 'unknown_kind', 'structured_assets[0]' FROM ok WHERE k % 5 = 2
+  UNION ALL SELECT k, 'invalid_asset_id', 'structured_assets[0]' FROM ok WHERE k % 7 = 1
+  UNION ALL SELECT k, 'unknown_field', 'structured_assets[0].colour' FROM known WHERE k % 6 = 3
+  UNION ALL SELECT k, 'unknown_field', 'structured_assets[0].columns[0].color' FROM known WHERE k % 4 = 1
+  UNION ALL SELECT k, 'invalid_value', 'structured_assets[0].columns[1].type' FROM known WHERE k % 10 = 6
+  UNION ALL SELECT k, 'invalid_value', 'structured_assets[0].visual_hint.mode' FROM known WHERE k % 8 = 5
+  UNION ALL SELECT k, 'wrong_type', 'structured_assets[0].provenance' FROM known WHERE k % 9 = 0)
+SELECT CAST(k AS VARCHAR) AS request_id, code, path FROM found
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'row ' || row_ix || ' ' || a || ' ' || b, '' FROM {file_rows} WHERE o_custkey % 11 <> 4 AND o_custkey % 5 <> 2
 """)
 def _(t: Tables):
     assets, issues = S.read_json_assets(_asset_json(t), "o_custkey")
@@ -157,26 +172,31 @@ def _(t: Tables):
         F.max(F.when(F.col("col_ix") == 0, F.col("raw"))).alias("a"), F.max(F.when(F.col("col_ix") == 1, F.col("raw"))).alias("b")
     )
     row = F.concat(F.lit("row "), F.col("row_ix").cast("string"), F.lit(" "), "a", F.lit(" "), F.col("b").cast("decimal(18,2)").cast("string"))
-    return issues.select("request_id", "code").unionByName(cells.select(F.col("o_custkey").cast("string").alias("request_id"), row.alias("code")))
+    return issues.select("request_id", "code", "path").unionByName(cells.select(F.col("o_custkey").cast("string").alias("request_id"), row.alias("code"), F.lit("").alias("path")))
 
 
 @query("read_requests", r"""
-SELECT CAST(c_custkey AS VARCHAR) AS request_id, unnest(list_filter([CASE WHEN c_custkey % 9 = 0 THEN 'brief_required' END, CASE WHEN NOT (1 <= c_custkey % 5 AND c_custkey % 5 <= c_custkey % 33 AND c_custkey % 33 <= 30) THEN 'invalid_slide_range' END,
-  CASE WHEN c_custkey % 4 = 1 THEN 'content_required' END, CASE WHEN c_custkey % 4 = 2 THEN 'duplicate_asset_id' END, CASE WHEN c_custkey % 8 = 3 THEN 'unknown_field' END, CASE WHEN c_custkey % 6 = 5 THEN 'duplicate_asset_ref' END],
-  lambda c: c IS NOT NULL)) AS code FROM {customer}
+SELECT CAST(c_custkey AS VARCHAR) AS request_id, code, path FROM (
+SELECT c_custkey, unnest(list_filter([CASE WHEN c_custkey % 9 = 0 THEN 'brief_required' END, CASE WHEN NOT (1 <= c_custkey % 5 AND c_custkey % 5 <= c_custkey % 33 AND c_custkey % 33 <= 30) THEN 'invalid_slide_range' END,
+  CASE WHEN c_custkey % 4 = 1 THEN 'content_required' END, CASE WHEN c_custkey % 4 = 2 THEN 'duplicate_asset_id' END, CASE WHEN c_custkey % 6 = 5 THEN 'duplicate_asset_ref' END],
+  lambda c: c IS NOT NULL)) AS code, '' AS path FROM {customer}
+UNION ALL SELECT c_custkey, 'unknown_field', 'theme' FROM {customer} WHERE c_custkey % 8 = 3
+UNION ALL SELECT c_custkey, 'unknown_field', 'provided_images[1].width' FROM {customer} WHERE c_custkey % 10 = 7
+UNION ALL SELECT c_custkey, 'missing_field', 'slide_count.max' FROM {customer} WHERE c_custkey % 33 = 32
+UNION ALL SELECT c_custkey, 'missing_field', unnest(['structured_assets[0].title', 'structured_assets[0].columns', 'structured_assets[1].title', 'structured_assets[1].columns']) FROM {customer} WHERE c_custkey % 4 = 2) u
 """)
 def _(t: Tables):
     key = F.col("c_custkey")
     two = F.array(F.struct(F.lit("a").alias("id")), F.struct(F.lit("a").alias("id")))
     none = F.array().cast("array<struct<id:string>>")
-    images = F.array(*[F.struct(F.lit(f"i{i}").alias("id"), F.lit("p.png").alias("original_name"), F.when(key % 6 == 5, "x.png").otherwise(F.lit(f"x{i}.png")).alias("asset_ref")) for i in range(2)])
+    images = F.array(*[F.struct(F.lit(f"i{i}").alias("id"), F.lit("p.png").alias("original_name"), F.when(key % 6 == 5, "x.png").otherwise(F.lit(f"x{i}.png")).alias("asset_ref"), (F.when(key % 10 == 7, 640) if i else F.lit(None).cast("int")).alias("width")) for i in range(2)])
     body = F.struct(
         F.when(key % 9 == 0, F.lit("  ")).otherwise(F.col("c_name")).alias("brief"), F.when(key % 4 == 1, F.lit(" ")).otherwise("text").alias("content_package"),
-        F.struct((key % 5).alias("min"), (key % 33).alias("max")).alias("slide_count"), F.when(key % 4 == 2, two).otherwise(none).alias("structured_assets"),
+        F.struct((key % 5).alias("min"), F.when(key % 33 < 32, key % 33).alias("max")).alias("slide_count"), F.when(key % 4 == 2, two).otherwise(none).alias("structured_assets"),
         images.alias("provided_images"), F.when(key % 8 == 3, F.lit("?")).alias("theme"),
     )
     _, issues = S.read_requests(t("customer").select("c_custkey", F.to_json(body).alias("text")), "c_custkey")
-    return issues.select("request_id", "code")
+    return issues.select("request_id", "code", "path")
 
 
 define("slide_statuses", "SELECT deck_id, slide_number, CASE p_partkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'disabled' ELSE 'error' END AS status, CASE WHEN p_partkey % 6 = 3 THEN 'poster' ELSE classification END AS classification, description, p_partkey FROM {slides}")
@@ -198,3 +218,22 @@ def _(t: Tables):
     slides, _ = M.read_slide_metadata(M.slides_of_json(texts), t("deck_manifests"))
     counts = M.shapes_of(slides).groupBy("deck_id", "slide_number").agg(F.count(F.lit(1)).alias("n_shapes"))
     return slides.select("deck_id", "slide_number", "classification", "description", "vlm_status").join(counts, ["deck_id", "slide_number"], "left").withColumn("n_shapes", F.coalesce("n_shapes", F.lit(0)))
+
+
+@query("publish_tables", r"""
+SELECT 1 AS version, 'assets' AS table_name, count(*) AS rows, sum(asset_ix) AS checksum FROM {assets}
+UNION ALL SELECT 1, 'jobs', count(*), sum(strlen(id)) FROM {jobs}
+UNION ALL SELECT 2, 'assets', count(*), sum(asset_ix) FROM {assets}
+UNION ALL SELECT 2, 'jobs', count(*), sum(strlen(id)) FROM {jobs} WHERE status <> 'processing'
+""")
+def _(t: Tables):
+    """Two versions of two tables, the second of one table only, read back as each version has them."""
+    folder = shared_folder(t.spark, "published")
+    sinks.publish_tables({"assets": t("assets"), "jobs": t("jobs")}, folder, {"assets": ["request_id"]})
+    sinks.publish_tables({"jobs": t("jobs").filter("status <> 'processing'")}, folder, replace=True)
+    told = []
+    for version in (1, 2):
+        for name, number in (("assets", F.sum("asset_ix")), ("jobs", F.sum(F.octet_length("id")))):
+            rows = sinks.published(t.spark, folder, name, version).agg(F.count(F.lit(1)).alias("rows"), number.cast("long").alias("checksum"))
+            told.append(rows.select(F.lit(version).alias("version"), F.lit(name).alias("table_name"), "rows", "checksum"))
+    return told[0].unionByName(told[1]).unionByName(told[2]).unionByName(told[3])

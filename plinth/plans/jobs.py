@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from plinth.operators import jobs as J
 from plinth.plans.registry import Tables, define, query
-from plinth.streaming import feeds
-from plinth.streaming.replay import replay
+from plinth.session import shared_folder
+from plinth.streaming import jobstate, stored
+from plinth.streaming.replay import replay, told_to
 
 
 def jobs_of(t: Tables):
@@ -205,15 +206,29 @@ def event_rows(t: Tables):
     return t("job_events").select("job_id", "id", "stage", "progress", "done", "total", stamp.alias("created_at"))
 
 
+def late_by(key: str, days: int):
+    """Rows arrive up to ``days`` after their time, each by its own measure."""
+    return lambda time: F.unix_seconds(time) + F.pmod(F.xxhash64(key), F.lit(days * 86_400))
+
+
 @query("job_state_stream", "SELECT job_id, status, stage, progress, last_id FROM {x_state}")
 def _(t: Tables):
-    told = replay(event_rows(t), feeds.job_state, "update")
-    return told.groupBy("job_id").agg(F.max_by(F.struct("status", "stage", "progress", "last_id"), "batch").alias("s")).select("job_id", "s.*")
+    """Out of order by up to five days, with a watermark a week behind; jobs of these orders last for years."""
+    rows = event_rows(t)
+    folder = shared_folder(t.spark, "told")
+    replay(rows, late_by("id", 5)(F.col("created_at")), told_to(folder, lambda events: jobstate.job_state(events, keep_days=36_500), "update"))
+    return jobstate.latest_states(t.spark.read.schema(f"{jobstate.TOLD}, batch long").parquet(folder))
 
 
 @query("job_event_feed_stream", "SELECT job_id, id, stage FROM {job_events}")
 def _(t: Tables):
-    return replay(event_rows(t), feeds.job_event_feed, "append").select("job_id", "id", "stage")
+    """Every event twice, the second time up to 30 days later."""
+    rows = event_rows(t)
+    twice = rows.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    folder = shared_folder(t.spark, "feed")
+    arrival = F.when(F.col("again") == 0, F.unix_seconds("created_at")).otherwise(late_by("id", 30)(F.col("created_at")))
+    replay(twice, arrival, lambda stream, marks: stored.feed_events(stream.drop("again"), folder, marks), periods=3)
+    return stored.stored_events(t.spark, folder, "job_id string, id bigint, stage string").select("job_id", "id", "stage")
 
 
 @query("call_log_windows_stream", r"""
@@ -221,6 +236,10 @@ SELECT CAST(epoch_us(date_trunc('hour', ts)) / 1000000 AS BIGINT) AS window_star
   CAST(sum(CAST(regexp_extract(value, ' latency=(\S+)', 1) AS DECIMAL(18,3))) AS DOUBLE) AS latency_sum FROM {call_log} GROUP BY ALL
 """)
 def _(t: Tables):
-    rows = replay(t("call_log"), feeds.call_log_windows, "update")
-    last = rows.groupBy("window_start", "stage", "outcome", "error_category").agg(F.max_by(F.struct("attempts", "latency_sum"), "batch").alias("r"))
-    return last.select(F.unix_seconds("window_start").alias("window_start"), "stage", "r.attempts", "r.latency_sum")
+    """Windows of an hour, closed two hours behind the newest line; every eighth line comes up to three days late."""
+    lines = t("call_log").withColumn("ts", F.col("ts").cast("timestamp"))
+    windows = stored.CallWindows(t.spark, shared_folder(t.spark, "windows"), merge_every=2)
+    late = F.pmod(F.xxhash64("value", "ts"), F.lit(8)) == 0
+    arrival = F.when(late, late_by("value", 3)(F.col("ts"))).otherwise(F.unix_seconds("ts"))
+    replay(lines, arrival, windows.start, periods=5)
+    return windows.windows().select(F.unix_seconds("window_start").alias("window_start"), "stage", "attempts", "latency_sum")

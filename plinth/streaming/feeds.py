@@ -1,53 +1,11 @@
-"""Streaming forms of the job operators. Sources are file streams; offsets stand for the last seen event.
-
-Nothing here loses late rows unless a ``delay`` is given: state is then kept for good (one key per event or window, one
-list per job), which suits a log that is archived by period. With a ``delay`` state is dropped behind the watermark,
-and rows later than that are dropped with it.
-"""
+"""File streams of events and log lines, for the streaming forms in ``jobstate`` and ``stored``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from plinth.operators.jobs import event_progress, parse_call_log, stage_status
 
 EVENT_SCHEMA = "job_id string, id bigint, stage string, progress int, done int, total int, created_at timestamp"
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-
-
-def job_event_feed(events: DataFrame, delay: str | None = None) -> DataFrame:
-    """Events once each, also when a writer repeats them (within ``delay``, if given)."""
-    if delay is None:
-        return events.dropDuplicates(["job_id", "id"])
-    return events.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["job_id", "id"])
-
-
-def job_state(events: DataFrame) -> DataFrame:
-    """Current ``status, stage, progress, last_id`` of every job that an update touches.
-
-    The state holds the events of a job, a few dozen, so the result does not depend on the order in which they
-    arrive: nothing counts after the first cancellation, even when that arrives last.
-    """
-    reached = event_progress(F.col("stage"), F.col("progress"), F.col("done"), F.col("total"))
-    told = events.select("job_id", F.struct("id", "stage", reached.alias("reached")).alias("e"))
-    held = told.groupBy("job_id").agg(F.array_sort(F.collect_set("e")).alias("events"))
-    cut = F.array_min(F.transform(F.filter("events", lambda e: e["stage"] == "canceled"), lambda e: e["id"]))
-    accepted = F.filter("events", lambda e: F.col("cut").isNull() | (e["id"] <= F.col("cut")))
-    last = F.element_at("accepted", -1)
-    progress = F.try_element_at(F.filter("accepted", lambda e: e["reached"].isNotNull()), F.lit(-1))
-    return held.withColumn("cut", cut).withColumn("accepted", accepted).select(
-        "job_id", stage_status(last["stage"]).alias("status"), last["stage"].alias("stage"), F.coalesce(progress["reached"], F.lit(0)).alias("progress"), last["id"].alias("last_id")
-    )
-
-
-def call_log_windows(lines: DataFrame, time: str = "ts", size: str = "1 hour", delay: str | None = None) -> DataFrame:
-    """Call metrics per window, stage and outcome. ``lines``: ``value`` and an event time."""
-    calls = parse_call_log(lines.withColumn(time, F.col(time).cast("timestamp")))
-    calls = calls if delay is None else calls.withWatermark(time, delay)
-    return calls.groupBy(F.window(time, size), "stage", "outcome", "error_category").agg(
-        F.count(F.lit(1)).alias("attempts"), F.sum(F.col("latency").cast("decimal(18,3)")).cast("double").alias("latency_sum"), F.sum("output_tokens").alias("output_tokens"),
-    ).select(F.col("window.start").alias("window_start"), "stage", "outcome", "error_category", "attempts", "latency_sum", "output_tokens")
+def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100, schema: str = EVENT_SCHEMA) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)

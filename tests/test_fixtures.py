@@ -12,7 +12,7 @@ from plinth.operators import visuals as V
 from plinth.plans.archives import workbook
 from plinth.sources import files as S
 from plinth.sources import metadata as M
-from plinth.sources.sinks import publish_tables
+from plinth.sources.sinks import publish_tables, published, tables_of
 
 
 def cells_of(spark, tables):
@@ -239,18 +239,34 @@ def test_slide_files_nest_without_limit(spark, tmp_path):
 
 
 def test_publish_never_overwrites(spark, tmp_path):
-    frame = spark.range(3)
-    publish_tables({"one": frame}, str(tmp_path / "out"))
+    frame, folder = spark.range(3), str(tmp_path / "out")
+    assert publish_tables({}, folder) == 0 and tables_of(spark, folder) == []
+    assert publish_tables({"one": frame}, folder) == 1
     with pytest.raises(FileExistsError):
-        publish_tables({"two": frame, "one": frame}, str(tmp_path / "out"))
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"] and [p.name for p in (tmp_path / "out").iterdir()] == ["one"]
-    assert spark.read.parquet(str(tmp_path / "out" / "one")).count() == 3
+        publish_tables({"two": frame, "one": frame}, folder)
+    assert tables_of(spark, folder) == ["one"] and published(spark, folder, "one").count() == 3
+    with pytest.raises(FileNotFoundError):
+        published(spark, folder, "two")
 
 
 def test_publish_all_or_nothing(spark, tmp_path):
-    broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("string").alias("x"))
+    """The second table fails: no reader sees the first one, and the next publication is not in its way."""
+    broken, folder = spark.range(3).select(F.raise_error(F.lit("no")).cast("string").alias("x")), str(tmp_path / "out")
     with pytest.raises(Exception, match="no"):
-        publish_tables({"one": spark.range(3), "two": broken}, str(tmp_path / "out"))
-    assert not list(tmp_path.iterdir())
-    publish_tables({"one": spark.range(4), "two": spark.range(5).withColumn("k", F.col("id") % 2)}, str(tmp_path / "out"), {"two": ["k"]})
-    assert [spark.read.parquet(str(tmp_path / "out" / n)).count() for n in ("one", "two")] == [4, 5]
+        publish_tables({"one": spark.range(3), "two": broken}, folder)
+    assert tables_of(spark, folder) == []
+    assert publish_tables({"one": spark.range(4), "two": spark.range(5).withColumn("k", F.col("id") % 2)}, folder, {"two": ["k"]}) == 1
+    assert [published(spark, folder, n).count() for n in ("one", "two")] == [4, 5]
+    with pytest.raises(Exception, match="no"):
+        publish_tables({"one": spark.range(9), "two": broken}, folder, replace=True)
+    assert [published(spark, folder, n).count() for n in ("one", "two")] == [4, 5]
+
+
+def test_versions_stay_readable(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    publish_tables({"one": spark.range(1), "two": spark.range(2)}, folder)
+    assert publish_tables({"two": spark.range(7)}, folder, replace=True) == 2
+    assert [published(spark, folder, n).count() for n in ("one", "two")] == [1, 7]
+    assert published(spark, folder, "two", 1).count() == 2
+    assert publish_tables({"three": spark.range(5)}, folder, keep=False) == 3
+    assert tables_of(spark, folder) == ["three"]
