@@ -101,11 +101,6 @@ def long_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(LONG_WORD), F.lit(0)))
 
 
-def word_overlap(title: Column, cited: Column, purpose: Column) -> Column:
-    cited, purpose = F.lower(cited), F.lower(purpose)
-    return F.size(F.filter(long_words(title), lambda w: F.contains(cited, w) | F.contains(purpose, w)))
-
-
 def rstrip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+$", "")
 

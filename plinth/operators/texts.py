@@ -148,10 +148,34 @@ def allocate_orphans(sources: DataFrame, slide_refs: DataFrame, slides: DataFram
     return ranked.join(counts, "request_id").select("request_id", "source_id", turn.cast("int").alias("number"))
 
 
+#: Places of three letters in a row that can be part of a title word.
+_TRIGRAMS = r"(?=([\p{L}\p{N}_-]{3}))"
+
+
 def word_overlap_score(titles: DataFrame, slides: DataFrame) -> DataFrame:
-    """``titles``: ``request_id, asset_id, title``; ``slides``: ``request_id, number, purpose, cited``."""
-    score = X.word_overlap(F.col("title"), F.col("cited"), F.col("purpose"))
-    return titles.join(slides, "request_id").select("request_id", "asset_id", "number", score.alias("overlap"))
+    """``request_id, asset_id, number, overlap``: how many distinct words of an asset's title stand, also inside of words, in
+    the texts that a slide cites or in its purpose; a row per asset and slide of a request.
+
+    ``titles``: ``request_id, asset_id, title``; ``slides``: ``request_id, number, purpose, cited``. Words and slides meet
+    under the word's trigram that fewest slides of the request hold; a word with a trigram that none holds meets nothing.
+    What met is looked up in the slide's text, which stays in the slide's row; pairs carry numbers only.
+    """
+    def grams(text: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(_TRIGRAMS), F.lit(1)))
+
+    words = titles.select("request_id", "asset_id", F.explode(X.long_words(F.col("title"))).alias("word"))
+    texts = slides.select("request_id", "number", F.lower(F.concat_ws("\n", "cited", "purpose")).alias("text"))
+    postings = texts.select("request_id", "number", F.explode(grams(F.col("text"))).alias("gram"))
+    held = postings.groupBy("request_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = words.select("request_id", "word").distinct().select("request_id", "word", F.explode(grams(F.col("word"))).alias("gram"))
+    met = asked.join(held, ["request_id", "gram"], "left").groupBy("request_id", "word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+    near = met.filter("rarest.n > 0").select("request_id", "word", F.col("rarest.gram").alias("gram")).join(postings, ["request_id", "gram"])
+    asked_of = near.groupBy("request_id", "number").agg(F.collect_set("word").alias("words"))
+    inside = F.filter("words", lambda w: F.contains(F.col("text"), w))
+    found = asked_of.join(texts, ["request_id", "number"]).select("request_id", "number", F.explode(inside).alias("word"))
+    overlap = found.join(words, ["request_id", "word"]).groupBy("request_id", "asset_id", "number").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
+    pairs = titles.select("request_id", "asset_id").join(slides.select("request_id", "number"), "request_id")
+    return pairs.join(overlap, ["request_id", "asset_id", "number"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
 
 
 def enrich_profiles(profiles: DataFrame, sources: DataFrame) -> DataFrame:

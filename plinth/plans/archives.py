@@ -6,7 +6,12 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -63,3 +68,19 @@ def workbook_of(table: pd.Series) -> pd.Series:
 def document_of(table: pd.Series) -> pd.Series:
     rows = [[line.split("\t") for line in text.split("\n")] for text in table]
     return pd.Series([document([" Intro ", "", r[0][0]], [r, r[:1]]) for r in rows])
+
+
+def store_files(files: DataFrame, folder: str) -> int:
+    """Writes ``content`` to ``folder/path`` for every row, on the executors; a task that runs again writes the same files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                place = f"{base}/{path}"
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(place) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.numbering import ordered_text
-from plinth.plans.archives import document_of, workbook_of
+from plinth.plans.archives import document_of, store_files, workbook_of
 from plinth.plans.registry import Tables, define, query
 from plinth.session import shared_folder
 from plinth.sources import files as S
@@ -47,8 +47,16 @@ def _(t: Tables):
 
 @query("read_xlsx_datasets", _cells_sql("'b' || CAST(o_custkey AS VARCHAR) || ': Data'", "'in/b' || CAST(o_custkey AS VARCHAR) || '.xlsx'"))
 def _(t: Tables):
+    """Read where they lie, every sheet a task of its own."""
     files = _lines(t, "\t").select(F.format_string("in/b%d.xlsx", "o_custkey").alias("path"), workbook_of("text").alias("content"))
-    return S.read_xlsx_datasets(files).select("path", "title", "row_ix", "col_ix", "raw")
+    return _read_back(t, files, split_bytes=1 << 12)
+
+
+def _read_back(t: Tables, files: DataFrame, **options: int) -> DataFrame:
+    folder = shared_folder(t.spark, "office")
+    store_files(files, folder)
+    cells = S.read_office_tables(t.spark, folder, **{k: str(v) for k, v in options.items()})
+    return cells.select(F.concat(F.lit("in/"), F.substring_index("path", "/", -1)).alias("path"), "title", "row_ix", "col_ix", "raw")
 
 
 def _documents(t: Tables) -> DataFrame:
@@ -59,7 +67,7 @@ def _documents(t: Tables) -> DataFrame:
 UNION ALL SELECT DISTINCT 'in/d' || CAST(o_custkey AS VARCHAR) || '.docx', 'd' || CAST(o_custkey AS VARCHAR) || ' table 2', 0, unnest([0, 1, 2]), unnest(['Day', 'Price', 'Note']) FROM {file_rows}
 """)
 def _(t: Tables):
-    return S.read_docx_tables(_documents(t)).select("path", "title", "row_ix", "col_ix", "raw")
+    return _read_back(t, _documents(t), kinds="docx")
 
 
 @query("extract_document_text", """

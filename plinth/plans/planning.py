@@ -14,13 +14,13 @@ from plinth.plans.registry import Tables, define, query
 from plinth.session import cut_lineage
 
 
-def choices_of(t: Tables):
+def choices_of(t: Tables, listed: str = "pl_assets"):
     """Choice and profile per (request, asset) of the plans, with the request's deck."""
     assets = t("assets").drop("request_id", "asset_ix", "max_items", "max_rows", "max_columns")
     profile = V.column_profile(T.infer_column_types(t("dataset_cells")))
     chosen = V.choose_visual(assets.join(profile, "asset_id", "left"))
     decks = t.stored("pl_slides").select("request_id", "deck_id").distinct()
-    return cut_lineage(t.stored("pl_assets").join(chosen, "asset_id").join(decks, "request_id"))
+    return cut_lineage(t.stored(listed).select("request_id", "asset_ix", "asset_id").join(chosen, "asset_id").join(decks, "request_id"))
 
 
 def slots_of(t: Tables):
@@ -34,9 +34,10 @@ def canvas_choice_of(t: Tables):
 
 
 define("x_canvas_choice", SELECT_CANVAS)
-define("x_plan_choice", """
-SELECT a.request_id, a.asset_ix, d.deck_id, c.* EXCLUDE (request_id, asset_ix, max_items, max_rows, max_columns) FROM {pl_assets} a JOIN {x_choice} c ON c.asset_id = a.asset_id
-JOIN (SELECT DISTINCT request_id, deck_id FROM {pl_slides}) d ON d.request_id = a.request_id
+for _name, _listed in (("x_plan_choice", "pl_assets"), ("x_outline_choice", "ol_assets")):
+    define(_name, f"""
+SELECT a.request_id, a.asset_ix, d.deck_id, c.* EXCLUDE (request_id, asset_ix, max_items, max_rows, max_columns) FROM {{{_listed}}} a JOIN {{x_choice}} c ON c.asset_id = a.asset_id
+JOIN (SELECT DISTINCT request_id, deck_id FROM {{pl_slides}}) d ON d.request_id = a.request_id
 """)
 
 
@@ -48,8 +49,15 @@ def fits(v: str, caps: str = "caps", subs: str = "subs") -> str:
 CAPPED = f"CASE WHEN v = '' THEN NULL WHEN caps IS NULL OR {fits('v')} THEN v WHEN hint_mode = 'force' THEN NULL WHEN list_contains(string_split(caps, '|'), 'table') THEN 'table' END"
 
 
-@query("asset_guidance", f"""
-WITH w AS (SELECT * FROM {{x_plan_choice}} WHERE hint_mode <> 'none'),
+def guidance_of(t: Tables, listed: str):
+    slots = slots_of(t).filter("kind = 'visual'").join(t.stored("pl_families").drop("slide_class"), ["deck_id", "slide_number"])
+    return P.asset_guidance(choices_of(t, listed), slots, canvas_choice_of(t))
+
+
+def guidance_sql(choice: str) -> str:
+    """Checking SQL of the guidance over a table of choices."""
+    return f"""
+WITH w AS (SELECT * FROM {{{choice}}} WHERE hint_mode <> 'none'),
  ch AS (SELECT w.*, f.family_id, c.slide_number FROM w JOIN {{x_canvas_choice}} c ON c.deck_id = w.deck_id AND c.subtype = w.visual_subtype JOIN {{pl_families}} f ON {on("f", "c")} WHERE w.visual_kind = 'chart'),
  ot AS (SELECT w.*, s.slide_number, s.slot_id, f.family_id, s.max_items, s.max_rows, s.max_columns, {CAPPED} AS cv FROM w JOIN {{pl_slots}} s ON s.deck_id = w.deck_id JOIN {{pl_families}} f ON {on("f", "s")}
    WHERE w.visual_kind IS DISTINCT FROM 'chart' AND NOT s.has_canvas AND s.kind = 'visual'),
@@ -60,33 +68,79 @@ UNION ALL SELECT request_id, asset_id, family_id, slide_number, slot_id, split_p
   CAST(pages * CASE WHEN cv NOT LIKE 'table%' OR n_columns <= lim THEN 1 WHEN lim = 1 THEN n_columns ELSE ceil((n_columns - 1) / (lim - 1)) END AS BIGINT) FROM pg
 UNION ALL SELECT request_id, asset_id, NULL, NULL, NULL, 'text', NULL, NULL FROM w WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.request_id = w.request_id AND ch.asset_id = w.asset_id)
   AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.request_id = w.request_id AND ok.asset_id = w.asset_id)
-""")
+"""
+
+
+@query("asset_guidance", guidance_sql("x_plan_choice"))
 def _(t: Tables):
-    slots = slots_of(t).filter("kind = 'visual'").join(t.stored("pl_families").drop("slide_class"), ["deck_id", "slide_number"])
-    found, lost = P.asset_guidance(choices_of(t), slots, canvas_choice_of(t))
+    found, lost = guidance_of(t, "pl_assets")
     none = F.lit(None)
     empty = lost.select("request_id", "asset_id", none.cast("string").alias("family_id"), none.cast("int").alias("slide_number"), none.cast("string").alias("slot_id"),
                         F.lit("text").alias("visual_kind"), none.cast("string").alias("visual_subtype"), none.cast("int").alias("expected_pages"))
     return found.unionByName(empty)
 
 
-define("pl_pairs", """
-SELECT s.request_id, a.asset_ix, a.asset_id, s.number, (s.o_orderkey + a.asset_ix) % 9 = 0 AS explicit,
-       s.content_type IN ('table', 'chart', 'diagram', 'pictogram_grid') AS typed, CAST((s.o_orderkey * 7 + a.asset_ix) % 5 AS INT) AS overlap
-FROM {pl_slides} s JOIN {pl_assets} a ON a.request_id = s.request_id
+# Outlines: the slides of the plans with material, up to six assets each, and citations of assets.
+define("ol_assets", """
+SELECT l.request_id, CAST(item_ix AS INT) AS asset_ix, item AS asset_id, a.title, a.hint_mode FROM (
+  SELECT 'r' || CAST(c_custkey AS STRING) AS request_id, c_custkey, @LIST('ds-' || CAST(c_custkey AS STRING); 'ds-' || CAST(c_custkey + 1 AS STRING); 'ds-' || CAST(c_custkey + 2 AS STRING);
+    'ds-' || CAST(c_custkey + 3 AS STRING); 'ds-' || CAST(c_custkey + 4 AS STRING); 'ds-' || CAST(c_custkey + 5 AS STRING))@ FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders})) l
+JOIN {assets} a ON a.asset_id = l.item WHERE item_ix <= c_custkey % 6
+""")
+define("ol_slides", """
+SELECT s.request_id, s.deck_id, s.number, s.content_type, CAST(CASE WHEN s.o_orderkey % 3 = 1 THEN s.o_orderkey % 4 ELSE 0 END AS INT) AS n_images,
+       CASE s.o_orderkey % 3 WHEN 0 THEN 'Review of ' || c.c_mktsegment WHEN 1 THEN s.purpose ELSE 'Preorders: ' || c.c_name END AS purpose,
+       CASE s.o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Notes on ' || coalesce(n.c_name, 'nobody') || chr(10) || 'and their ORDERS' WHEN 2 THEN 'Building a household furniture plan' ELSE 'machinery, automobiles' END AS cited,
+       CASE WHEN s.o_orderkey % 11 = 3 THEN 'asset:ds-' || CAST(o.o_custkey + s.o_orderkey % 3 AS STRING) END AS source_id
+FROM {pl_slides} s JOIN {orders} o ON o.o_orderkey = s.o_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey LEFT JOIN {customer} n ON n.c_custkey = o.o_custkey + s.o_orderkey % 5
+""")
+define("x_outline_guidance", guidance_sql("x_outline_choice"))
+define("x_ol_compatible", "SELECT * FROM {x_outline_guidance} WHERE family_id IS NOT NULL")
+define("x_ol_shown", "SELECT request_id, asset_id, arg_min(visual_kind, row(family_id, slide_number, slot_id)) AS visual_kind FROM {x_ol_compatible} GROUP BY ALL")
+define("x_ol_placed", """
+SELECT a.request_id, a.asset_ix, a.asset_id, a.title, s.visual_kind, row_number() OVER (PARTITION BY a.request_id ORDER BY a.asset_ix) AS k FROM {ol_assets} a
+JOIN {x_ol_shown} s ON s.request_id = a.request_id AND s.asset_id = a.asset_id WHERE a.hint_mode <> 'none'
+""")
+define("x_ol_overflow", """
+SELECT s.request_id FROM (SELECT request_id, count(*) AS n FROM {ol_slides} GROUP BY ALL) s LEFT JOIN (SELECT request_id, count(*) AS m FROM {x_ol_placed} GROUP BY ALL) a ON a.request_id = s.request_id
+WHERE n > 30 OR coalesce(m, 0) > n
 """)
+define("x_ol_wishes", r"""
+SELECT p.request_id, p.k, p.asset_id, s.number, coalesce(s.source_id = 'asset:' || p.asset_id, FALSE) AS explicit, s.content_type IN ('table', 'chart', 'diagram', 'pictogram_grid', p.visual_kind) AS typed,
+  len(list_filter(list_distinct(regexp_extract_all(lower(p.title), '[\p{L}\p{N}_-]{3,}')), lambda w: contains(lower(s.cited), w) OR contains(lower(s.purpose), w))) AS overlap
+FROM {x_ol_placed} p JOIN {ol_slides} s ON s.request_id = p.request_id WHERE p.request_id NOT IN (SELECT request_id FROM {x_ol_overflow})
+""")
+define("x_ol_taken", """
+SELECT request_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS asset_id, CAST(NULL AS INT) AS number, CAST([] AS INT[]) AS taken FROM (SELECT DISTINCT request_id FROM {x_ol_wishes}) r
+UNION ALL
+(SELECT request_id, k, asset_id, number, list_append(taken, number) FROM (
+  SELECT w.request_id, w.k, w.asset_id, w.number, t.taken, row_number() OVER (PARTITION BY w.request_id ORDER BY NOT w.explicit, NOT w.typed, -w.overlap, w.number) AS rn
+  FROM x_ol_taken t JOIN {x_ol_wishes} w ON w.request_id = t.request_id AND w.k = t.k + 1 AND NOT list_contains(t.taken, w.number)) c WHERE rn = 1)
+""")
+
+
+def outline_of(t: Tables):
+    """Slides, assets and word overlaps of the outlines."""
+    slides, assets = t.stored("ol_slides"), t.stored("ol_assets")
+    return slides, assets, cut_lineage(O.word_overlap_score(assets.select("request_id", "asset_id", "title"), slides.select("request_id", "number", "purpose", "cited")))
+
+
+def refs_of(slides):
+    return slides.filter("source_id IS NOT NULL").select("request_id", "number", "source_id")
 
 
 @query("assign_assets_to_slides", r"""
-WITH big AS (SELECT s.request_id FROM (SELECT request_id, count(*) AS n FROM {pl_slides} GROUP BY ALL) s LEFT JOIN (SELECT request_id, count(*) AS m FROM {pl_assets} GROUP BY ALL) a ON a.request_id = s.request_id WHERE n > 30 OR coalesce(m, 0) > n),
- p AS (SELECT *, dense_rank() OVER (PARTITION BY request_id ORDER BY asset_ix) AS k FROM {pl_pairs} WHERE request_id NOT IN (SELECT request_id FROM big)),
- one AS (SELECT * FROM p WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY NOT explicit, CASE WHEN typed THEN 0 ELSE 1 END, -overlap, number) = 1),
- two AS (SELECT p.* FROM p JOIN one ON one.request_id = p.request_id AND one.number <> p.number WHERE p.k = 2
-   QUALIFY row_number() OVER (PARTITION BY p.request_id ORDER BY NOT p.explicit, CASE WHEN p.typed THEN 0 ELSE 1 END, -p.overlap, p.number) = 1)
-SELECT request_id, asset_id, number FROM one UNION ALL SELECT request_id, asset_id, number FROM two
+SELECT request_id, asset_id, number, NULL AS code FROM {x_ol_taken} WHERE k > 0 UNION ALL SELECT request_id, NULL, NULL, 'content_overflow' FROM {x_ol_overflow}
 """)
 def _(t: Tables):
-    return P.assign_assets_to_slides(t.stored("pl_pairs"), P.overflow_issues(t.stored("pl_slides"), t.stored("pl_assets")))
+    slides, assets, overlap = outline_of(t)
+    compatible, _ = guidance_of(t, "ol_assets")
+    shown = cut_lineage(compatible.groupBy("request_id", "asset_id").agg(F.min_by("visual_kind", F.struct("family_id", "slide_number", "slot_id")).alias("visual_kind")))
+    placed = assets.filter("hint_mode <> 'none'").join(shown, ["request_id", "asset_id"], "left_semi")
+    overflow = P.overflow_issues(slides, placed)
+    taken = P.assign_assets_to_slides(P.asset_pairs(slides, placed, overlap, refs_of(slides), shown), overflow)
+    none = F.lit(None)
+    return taken.withColumn("code", none.cast("string")).unionByName(overflow.select("request_id", none.cast("string").alias("asset_id"), none.cast("int").alias("number"), "code"))
 
 
 define("outline_types", """
@@ -101,35 +155,38 @@ def _(t: Tables):
     return P.assign_images_to_slides(P.image_slide_scores(t("requests"), sources, needed, t("outline_types"), t("outline_refs")))
 
 
-define("pl_wanted", """
-SELECT s.request_id, s.deck_id, s.number, s.content_type, CAST(s.o_orderkey % 3 AS INT) AS n_images,
-       CASE WHEN s.content_type IN ('table', 'chart', 'diagram') THEN a.asset_id END AS asset_id
-FROM {pl_slides} s LEFT JOIN {pl_assets} a ON a.request_id = s.request_id AND a.asset_ix = 0
-""")
-define("pl_guidance", """
-SELECT a.request_id, a.asset_id, f.family_id, f.slide_number, CASE f.slide_class WHEN 'chart' THEN 'chart' ELSE 'table' END AS visual_kind, CAST(1 + f.slide_number % 3 AS INT) AS expected_pages
-FROM {pl_assets} a JOIN (SELECT DISTINCT request_id, deck_id FROM {pl_slides}) d ON d.request_id = a.request_id JOIN {pl_families} f ON f.deck_id = d.deck_id WHERE f.slide_class IN ('chart', 'table', 'metrics')
+define("x_ol_wanted", """
+SELECT s.request_id, s.deck_id, s.number, s.n_images, w.asset_id, CASE WHEN w.asset_id IS NULL AND s.content_type IN ('table', 'chart', 'diagram', 'pictogram_grid') THEN 'text' ELSE s.content_type END AS content_type
+FROM {ol_slides} s LEFT JOIN {x_ol_taken} w ON w.request_id = s.request_id AND w.number = s.number WHERE s.request_id NOT IN (SELECT request_id FROM {x_ol_overflow})
 """)
 
 
 @query("choose_variant", f"""
 WITH o AS (SELECT deck_id, slide_number, count(*) FILTER (kind = 'image') AS n_image, count(*) FILTER (required) AS n_required, list(DISTINCT kind) AS kinds, bool_or(required AND kind IN ('visual', 'table', 'chart')) AS heavy FROM {{pl_slots}} GROUP BY ALL),
  v AS (SELECT f.*, o.* EXCLUDE (deck_id, slide_number) FROM {{pl_families}} f JOIN o ON {on("o", "f")}),
- c AS (SELECT w.*, v.family_id, v.slide_number, v.slide_class, v.kinds, v.n_image, v.n_required, g.visual_kind, g.expected_pages AS pages FROM {{pl_wanted}} w JOIN {{pl_guidance}} g ON g.request_id = w.request_id AND g.asset_id = w.asset_id
+ c AS (SELECT w.*, v.family_id, v.slide_number, v.slide_class, v.kinds, v.n_image, v.n_required, g.visual_kind, g.expected_pages AS pages FROM {{x_ol_wanted}} w JOIN {{x_ol_compatible}} g ON g.request_id = w.request_id AND g.asset_id = w.asset_id
       JOIN v ON v.deck_id = w.deck_id AND v.slide_number = g.slide_number
-   UNION ALL SELECT w.*, v.family_id, v.slide_number, v.slide_class, v.kinds, v.n_image, v.n_required, NULL, 1 FROM {{pl_wanted}} w JOIN v ON v.deck_id = w.deck_id WHERE w.asset_id IS NULL AND NOT v.heavy),
+   UNION ALL SELECT w.*, v.family_id, v.slide_number, v.slide_class, v.kinds, v.n_image, v.n_required, NULL, 1 FROM {{x_ol_wanted}} w JOIN v ON v.deck_id = w.deck_id WHERE w.asset_id IS NULL AND NOT v.heavy),
  b AS (SELECT * FROM c WHERE n_image >= n_images QUALIFY row_number() OVER (PARTITION BY request_id, number ORDER BY
     CASE WHEN slide_class = CASE content_type WHEN 'cover' THEN 'cover' WHEN 'profiles' THEN 'profile' WHEN 'metrics' THEN 'metrics' WHEN 'table' THEN 'table' WHEN 'chart' THEN 'chart' WHEN 'process' THEN 'process' WHEN 'timeline' THEN 'timeline'
       WHEN 'closing' THEN 'closing' WHEN 'diagram' THEN 'content_visual' WHEN 'pictogram_grid' THEN 'content_visual' WHEN 'image' THEN 'content_visual' ELSE 'content_text' END THEN 0 ELSE 1 END, pages,
     CASE WHEN list_contains(kinds, CASE content_type WHEN 'bullets' THEN 'bullet_list' WHEN 'cards' THEN 'cards' WHEN 'profiles' THEN 'profiles' WHEN 'metrics' THEN 'metrics' WHEN 'process' THEN 'process' WHEN 'timeline' THEN 'timeline' ELSE 'text' END) THEN 0 ELSE 1 END,
-    abs(n_image - n_images), n_required, slide_number) = 1)
-SELECT w.request_id, w.number, b.family_id AS template_family_id, b.slide_number AS template_slide_number, CASE WHEN b.visual_kind = 'chart' THEN b.asset_id END AS chart_asset_id
-FROM {{pl_wanted}} w LEFT JOIN b ON b.request_id = w.request_id AND b.number = w.number
+    abs(n_image - n_images), n_required, slide_number, coalesce(visual_kind, '')) = 1)
+SELECT w.request_id, w.number, w.content_type, w.asset_id, b.family_id AS template_family_id, b.slide_number AS template_slide_number, CASE WHEN b.visual_kind = 'chart' THEN b.asset_id END AS chart_asset_id, NULL AS code, NULL AS path
+FROM {{x_ol_wanted}} w JOIN b ON b.request_id = w.request_id AND b.number = w.number
+UNION ALL SELECT w.request_id, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN n_images > 0 THEN 'content_overflow' ELSE 'incompatible_template' END, 'slides[' || (number - 1) || ']'
+FROM {{x_ol_wanted}} w WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.request_id = w.request_id AND b.number = w.number)
+UNION ALL SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, 'content_overflow', 'slides' FROM {{x_ol_overflow}}
 """)
 def _(t: Tables):
+    """The whole chain: overlaps, guidance, assignment, text fall-back, templates, and an issue for all that has none."""
+    slides, assets, overlap = outline_of(t)
+    compatible, _ = guidance_of(t, "ol_assets")
     variants = P.variant_summary(t.stored("pl_families"), t.stored("pl_slots"))
-    picked = P.choose_variant(t.stored("pl_wanted"), variants, t.stored("pl_guidance"))
-    return picked.select("request_id", "number", "template_family_id", "template_slide_number", "chart_asset_id")
+    found, issues = P.resolve_outline(slides, assets, overlap, refs_of(slides), cut_lineage(compatible), variants)
+    columns = ["number", "content_type", "asset_id", "template_family_id", "template_slide_number", "chart_asset_id"]
+    told = found.select("request_id", *columns, F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("path"))
+    return told.unionByName(issues.select("request_id", "code", "path"), allowMissingColumns=True)
 
 
 define("x_repaired", """

@@ -27,6 +27,8 @@ ORACLES: dict[str, str] = {}
 
 
 def define(name: str, sql: str) -> None:
+    if name in INPUTS:
+        raise ValueError(f"input {name} is defined twice")
     INPUTS[name] = sql.strip()
 
 
