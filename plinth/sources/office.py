@@ -54,6 +54,13 @@ def _text(element: ElementTree.Element, tag: str) -> str:
     return "".join(t.text or "" for t in element.iter(tag))
 
 
+def _archive(file: BinaryIO) -> zipfile.ZipFile:
+    try:
+        return zipfile.ZipFile(file)
+    except pa.ArrowInvalid as short:  # a file too short to hold the end of an archive
+        raise zipfile.BadZipFile("File is not a zip file") from short
+
+
 class Strings:
     """Shared strings by number."""
 
@@ -114,7 +121,7 @@ class Workbook:
     """Visible sheets of a workbook by their place, and the rows of one of them."""
 
     def __init__(self, file: BinaryIO) -> None:
-        self.archive = zipfile.ZipFile(file)
+        self.archive = _archive(file)
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(self.archive.read("xl/_rels/workbook.xml.rels"))}
         book = ElementTree.fromstring(self.archive.read("xl/workbook.xml"))
         self.base_1904 = any(p.get("date1904") in ("1", "true") for p in book.iter(f"{SHEET}workbookPr"))
@@ -178,7 +185,7 @@ def _paragraphs(node: ElementTree.Element) -> str:
 
 def _blocks(file: BinaryIO) -> Iterator[tuple[str, int, list[str]]]:
     """Paragraphs (``p``) and table rows (``tr``, number of the table) of a document's body in order."""
-    with zipfile.ZipFile(file).open("word/document.xml") as stream:
+    with _archive(file).open("word/document.xml") as stream:
         open_: list[ElementTree.Element] = []
         tables, seen = -1, False
         for event, element in ElementTree.iterparse(stream, events=("start", "end")):

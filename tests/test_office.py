@@ -33,7 +33,7 @@ def test_files_and_sheets_are_tasks(spark, tmp_path, split):
     assert [r[5] for r in got if r[:4] == ("b.xlsx", 0, "b: One", 2)] == [None, "2"]
     assert {(r[0], r[6]) for r in got if r[6]} == {("none.xlsx", "ValueError: no visible non-empty sheets"), ("broken.XLSX", "BadZipFile: File is not a zip file")}
     assert {r[2] for r in got if r[0] == "d.docx"} == {"d table 1", "d table 2"}
-    assert S.read_office_tables(spark, str(tmp_path), split_bytes=split).rdd.getNumPartitions() == (6 if split == "1" else 1)
+    assert S.read_office_tables(spark, str(tmp_path), split_bytes=split).rdd.getNumPartitions() == (7 if split == "1" else 1)
     rows = spark.createDataFrame([("in/b.xlsx", book)], "path string, content binary")
     assert sorted((r.table_ix, r.row_ix, r.col_ix, r.raw or "") for r in S.read_xlsx_datasets(rows).collect()) == sorted((r[1], r[3], r[4], r[5] or "") for r in got if r[0] == "b.xlsx")
 
