@@ -299,41 +299,70 @@ def _(t: Tables):
     return P.ground_images(t("request_images").select("request_id", "image_ix", "id", "original_name"), t("image_slots"))
 
 
+# Pages of each asset: row pages by column blocks, the blocks outside.
+define("pl_cells", """
+SELECT request_id, asset_id, CAST(block * n_pages + page - 1 AS INT) AS seq, page, 'k0,k' || CAST(block + 1 AS STRING) AS selected_columns,
+       CASE WHEN length(request_id) % 3 = 1 THEN 'chart' ELSE 'table' END AS visual_kind, CASE WHEN length(request_id) % 3 = 1 THEN 'bar' END AS visual_subtype
+FROM (SELECT b.request_id, b.asset_id, b.n_pages, b.page, CAST(item AS INT) AS block FROM (
+  SELECT *, @LIST(0; 1)@ FROM (SELECT request_id, asset_id, n_pages, CAST(item AS INT) AS page FROM (SELECT *, @LIST(1; 2; 3; 4)@ FROM {pl_pages}) p WHERE item <= n_pages) q) b) c
+WHERE block <= length(asset_id) % 2
+""")
+define("pl_shown", "SELECT a.*, CASE WHEN content_kind = 'visual' THEN 'all' END AS selected_columns FROM {pl_assignments} a")
+
+
 @query("paginate_plan", r"""
-WITH v AS (SELECT *, count(*) OVER (PARTITION BY request_id, asset_id) AS uses, count(*) OVER (PARTITION BY request_id, number) AS nv FROM {pl_assignments} WHERE content_kind = 'visual'),
- f AS (SELECT s.request_id, s.number, s.chart_asset_id, coalesce(g.n_pages, 1) AS n, g.n_pages IS NOT NULL AS alone FROM {pl_slides} s LEFT JOIN v ON v.request_id = s.request_id AND v.number = s.number AND v.uses = 1 AND v.nv = 1
-   LEFT JOIN {pl_pages} g ON g.request_id = v.request_id AND g.asset_id = v.asset_id),
- o AS (SELECT f.*, sum(n) OVER (PARTITION BY f.request_id) > (SELECT max(slide_max) FROM {pl_pages} g WHERE g.request_id = f.request_id) AS over_max FROM f),
- c AS (SELECT *, unnest(range(1, CASE WHEN over_max THEN 1 ELSE n END + 1)) AS copy FROM o),
+WITH v AS (SELECT *, count(*) OVER (PARTITION BY request_id, asset_id) AS uses, count(*) OVER (PARTITION BY request_id, number) AS nv FROM {pl_shown} WHERE content_kind = 'visual'),
+ g AS (SELECT request_id, asset_id, count(*) AS n FROM {pl_cells} GROUP BY ALL),
+ f AS (SELECT s.request_id, s.number, s.chart_asset_id, g.asset_id AS fan, coalesce(g.n, 1) AS n FROM {pl_slides} s LEFT JOIN v ON v.request_id = s.request_id AND v.number = s.number AND v.uses = 1 AND v.nv = 1
+   LEFT JOIN g ON g.request_id = v.request_id AND g.asset_id = v.asset_id),
+ w AS (SELECT *, count(*) OVER (PARTITION BY request_id) + sum(n - 1) OVER (PARTITION BY request_id ORDER BY number) AS needed FROM f),
+ bad AS (SELECT w.request_id, arg_min(fan, number) AS fan FROM w JOIN {pl_limits} l ON l.request_id = w.request_id WHERE fan IS NOT NULL AND needed > slide_max GROUP BY w.request_id),
+ c AS (SELECT *, unnest(range(0, n)) AS copy FROM f WHERE request_id NOT IN (SELECT request_id FROM bad)),
  d AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY number, copy) AS new_number FROM c),
- a AS (SELECT d.request_id, d.new_number AS number, x.slot_id, x.assign_ix, x.content_kind, x.visual_kind, d.chart_asset_id, CASE WHEN x.content_kind = 'visual' AND d.alone AND d.over_max IS NOT TRUE THEN d.copy ELSE x.page END AS page, x.text
-   FROM d JOIN {pl_assignments} x ON x.request_id = d.request_id AND x.number = d.number),
+ a AS (SELECT d.request_id, d.new_number AS number, x.slot_id, x.assign_ix, x.content_kind, x.visual_kind, d.chart_asset_id, CASE WHEN x.content_kind = 'visual' AND d.fan IS NOT NULL THEN z.page ELSE x.page END AS page,
+   CASE WHEN x.content_kind = 'visual' AND d.fan IS NOT NULL THEN z.selected_columns ELSE x.selected_columns END AS selected_columns, x.text
+   FROM d JOIN {pl_shown} x ON x.request_id = d.request_id AND x.number = d.number LEFT JOIN {pl_cells} z ON z.request_id = d.request_id AND z.asset_id = d.fan AND z.seq = d.copy),
  m AS (SELECT *, bool_or(content_kind = 'visual' AND visual_kind = 'chart' AND page > 1 AND chart_asset_id IS NOT NULL) OVER (PARTITION BY request_id, number) AS later,
    arg_min(slot_id, assign_ix) FILTER (content_kind = 'text' AND text IS NOT NULL) OVER (PARTITION BY request_id, number) AS first_text FROM a)
-SELECT request_id, number, slot_id, assign_ix, page, CASE WHEN later AND slot_id = first_text THEN text || ' (продолжение)' ELSE text END AS text FROM m
+SELECT request_id, number, slot_id, assign_ix, page, selected_columns, CASE WHEN later AND slot_id = first_text THEN text || ' (продолжение)' ELSE text END AS text, NULL AS code FROM m
+UNION ALL SELECT request_id, NULL, NULL, NULL, NULL, NULL, 'structured_assets[' || fan || ']', 'content_overflow' FROM bad
 """)
 def _(t: Tables):
+    """Plans spread over their pages, and in place of each plan that does not fit its issue (the path as ``text``)."""
     slides = t.stored("pl_slides").select(*P.PLAN_SLIDE, "chart_asset_id")
-    _, rows = P.paginate_plan(slides, t.stored("pl_assignments").drop("deck_id", "l_orderkey"), t.stored("pl_pages"))
-    return rows.select(*P.PLAN_SLIDE, "slot_id", "assign_ix", "page", "text")
+    _, rows, issues = P.paginate_plan(slides, t.stored("pl_shown").drop("deck_id", "l_orderkey"), t.stored("pl_cells"), t("pl_limits"))
+    told = rows.select(*P.PLAN_SLIDE, "slot_id", "assign_ix", "page", "selected_columns", "text", F.lit(None).cast("string").alias("code"))
+    return told.unionByName(issues.select("request_id", F.col("path").alias("text"), "code"), allowMissingColumns=True)
 
 
-define("pl_unique", "SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY request_id, number, slot_id ORDER BY assign_ix) AS rn FROM {pl_assignments} a) u WHERE rn = 1")
-define("pl_flags", "SELECT request_id, number, slot_id, length(slot_id) = 2 AND number % 7 = 0 AS required FROM {pl_unique}")
+define("pl_unique", "SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY request_id, number, slot_id ORDER BY assign_ix) AS rn FROM {pl_shown} a) u WHERE rn = 1")
+define("pl_flags", """
+SELECT request_id, number, slot_id, length(slot_id) = 2 AND number % 7 = 0 AS required, CASE WHEN l_orderkey % 4 <> 0 THEN CASE WHEN l_orderkey % 9 = 3 THEN 'table' ELSE 'table|chart' END END AS caps,
+       CASE WHEN l_orderkey % 5 = 1 THEN 'line|bar' WHEN l_orderkey % 25 = 7 THEN 'line' END AS subs
+FROM {pl_unique} WHERE l_orderkey % 23 <> 4
+""")
 
 
 @query("remap_pages", r"""
-WITH u AS (SELECT a.*, f.required, row_number() OVER (PARTITION BY a.request_id, a.asset_id ORDER BY a.number, a.assign_ix) AS place, count(*) OVER (PARTITION BY a.request_id, a.asset_id) AS uses
-   FROM {pl_unique} a JOIN {pl_flags} f ON f.request_id = a.request_id AND f.number = a.number AND f.slot_id = a.slot_id WHERE content_kind = 'visual' AND visual_kind <> 'chart'),
- p AS (SELECT u.*, g.n_pages, bool_or(required AND place > n_pages) OVER (PARTITION BY u.request_id, u.asset_id) AS blocked FROM u JOIN {pl_pages} g ON g.request_id = u.request_id AND g.asset_id = u.asset_id),
- k AS (SELECT * FROM p WHERE uses > 1 AND uses >= n_pages AND NOT blocked)
-SELECT a.request_id, a.number, a.slot_id, CASE WHEN k.place > k.n_pages THEN 'clear' ELSE a.action END AS action, CASE WHEN k.place > k.n_pages THEN NULL ELSE a.asset_id END AS asset_id,
-  CASE WHEN k.place IS NULL THEN a.page WHEN k.place <= k.n_pages THEN k.place END AS page
+WITH u AS (SELECT a.*, f.required, f.caps, f.subs, row_number() OVER (PARTITION BY a.request_id, a.asset_id ORDER BY a.number, a.assign_ix) - 1 AS seq, count(*) OVER (PARTITION BY a.request_id, a.asset_id) AS uses
+   FROM {pl_unique} a JOIN {pl_flags} f ON f.request_id = a.request_id AND f.number = a.number AND f.slot_id = a.slot_id
+   WHERE content_kind = 'visual' AND NOT EXISTS (SELECT 1 FROM {pl_slides} s WHERE s.request_id = a.request_id AND s.chart_asset_id = a.asset_id)),
+ n AS (SELECT request_id, asset_id, count(*) AS n FROM {pl_cells} GROUP BY ALL),
+ p AS (SELECT u.request_id, u.asset_id, u.number, u.slot_id, u.seq, u.uses, n.n, z.page AS cell_page, z.selected_columns AS cell_columns, z.visual_kind AS cell_kind, z.visual_subtype AS cell_subtype,
+   CASE WHEN u.seq >= n.n THEN u.required ELSE u.caps IS NOT NULL AND NOT (list_contains(string_split(u.caps, '|'), z.visual_kind)
+     AND (z.visual_subtype IS NULL OR u.subs IS NULL OR list_contains(string_split(u.subs, '|'), z.visual_subtype))) END AS unfit
+   FROM u JOIN n ON n.request_id = u.request_id AND n.asset_id = u.asset_id LEFT JOIN {pl_cells} z ON z.request_id = u.request_id AND z.asset_id = u.asset_id AND z.seq = u.seq),
+ k AS (SELECT * FROM (SELECT *, bool_or(unfit) OVER (PARTITION BY request_id, asset_id) AS refused FROM p) q WHERE uses > 1 AND uses >= n AND NOT refused)
+SELECT a.request_id, a.number, a.slot_id, CASE WHEN k.seq >= k.n THEN 'clear' ELSE a.action END AS action, CASE WHEN k.seq >= k.n THEN NULL ELSE a.asset_id END AS asset_id,
+  CASE WHEN k.seq IS NULL THEN a.page ELSE k.cell_page END AS page, CASE WHEN k.seq IS NULL THEN a.selected_columns ELSE k.cell_columns END AS selected_columns,
+  CASE WHEN k.seq IS NULL THEN a.visual_kind ELSE k.cell_kind END AS visual_kind, CASE WHEN k.seq IS NULL THEN a.visual_subtype ELSE k.cell_subtype END AS visual_subtype
 FROM {pl_unique} a LEFT JOIN k ON k.request_id = a.request_id AND k.number = a.number AND k.slot_id = a.slot_id
 """)
 def _(t: Tables):
-    out = P.remap_pages(t.stored("pl_unique").drop("rn", "deck_id", "l_orderkey"), t.stored("pl_pages"), t.stored("pl_flags"))
-    return out.select(*P.PLAN_SLOT, "action", "asset_id", "page")
+    slots = t.stored("pl_flags").select(*P.PLAN_SLOT, "required", F.split("caps", r"\|").alias("cap_kinds"), F.split("subs", r"\|").alias("cap_subtypes"))
+    charts = t.stored("pl_slides").filter("chart_asset_id IS NOT NULL").select("request_id", F.col("chart_asset_id").alias("asset_id")).distinct()
+    out = P.remap_pages(t.stored("pl_unique").drop("rn", "deck_id", "l_orderkey"), t.stored("pl_cells"), slots, charts)
+    return out.select(*P.PLAN_SLOT, "action", "asset_id", "page", "selected_columns", "visual_kind", "visual_subtype")
 
 
 # Bindings of the assigned slots and flattened values of their content.
