@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.numbering import renumber, renumber_by
 from plinth.functions.scalars import squeeze
+from plinth.functions.selection import median_by_counts
 from plinth.issues import union_all
 from plinth.session import cut_lineage
 
@@ -133,9 +134,8 @@ def cluster_axis(shapes: DataFrame, axis: str, tolerances: DataFrame) -> DataFra
 
 def tolerance(shapes: DataFrame, size: str, factor: float, low: float, high: float) -> DataFrame:
     """Clamped share of the median size, with the number of shapes it rests on."""
-    return shapes.groupBy(*SLIDE).agg(F.count(F.lit(1)).alias("n_free"), F.median(size).alias("_m")).select(
-        *SLIDE, "n_free", F.greatest(F.lit(low), F.least(F.lit(high), F.col("_m") * factor)).alias("tolerance")
-    )
+    sized = median_by_counts(shapes, SLIDE, size)
+    return sized.select(*SLIDE, F.col("n").alias("n_free"), F.greatest(F.lit(low), F.least(F.lit(high), F.col("median") * factor)).alias("tolerance"))
 
 
 def bands(clustered: DataFrame, item_axis: str) -> DataFrame:

@@ -286,9 +286,15 @@ def chart_roles(choices: DataFrame, columns: DataFrame, chosen: DataFrame) -> Da
 
 
 def materialize_chart(cells: DataFrame, roles: DataFrame) -> DataFrame:
-    """Flat ``category, series, value`` points. ``roles`` needs ``page_size`` beside ``chart_roles``."""
-    rows = cells.filter("row_ix > 0").groupBy("asset_id", "row_ix").agg(
-        F.map_from_entries(F.collect_list(F.struct("col_ix", "raw"))).alias("by_col")
+    """Flat ``category, series, value`` points. ``roles`` needs ``page_size`` beside ``chart_roles``.
+
+    Only cells of charted assets are grouped, and of these only the columns shown; both joins and the grouping share one
+    partitioning by asset.
+    """
+    wanted = roles.select("asset_id", F.array_compact(F.concat(F.array("category_col"), F.transform("series", lambda s: s["col_ix"]))).alias("wanted"))
+    shown = F.when(F.array_contains("wanted", F.col("col_ix")), F.struct("col_ix", "raw"))
+    rows = cells.filter("row_ix > 0").join(wanted, "asset_id").groupBy("asset_id", "row_ix").agg(
+        F.map_from_entries(F.collect_list(shown)).alias("by_col")
     )
     category = F.when(F.col("category_col").isNull(), F.col("row_ix").cast("string")).otherwise(
         F.nullif(S.strip(F.try_element_at("by_col", F.col("category_col"))), F.lit(""))

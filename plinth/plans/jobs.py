@@ -132,6 +132,17 @@ def _(t: Tables):
     return J.killed_jobs(t("jobs"), t("killed"), t("templates"))
 
 
+define("failed_jobs", "SELECT id, type, template_id, status = 'failed' OR length(id) % 3 = 0 AS failed, length(id) % 2 = 0 AS preserve_template FROM {jobs}")
+
+
+@query("template_after_failure", r"""
+SELECT f.id, f.template_id, CASE WHEN preserve_template AND t.model_path IS NOT NULL THEN 'ready' ELSE 'failed' END AS template_status
+FROM {failed_jobs} f JOIN {templates} t ON t.id = f.template_id WHERE f.failed AND f.type = 'template_analysis'
+""")
+def _(t: Tables):
+    return J.template_after_failure(t("failed_jobs").filter("failed"), t("templates").select("id", "model_path"))
+
+
 @query("active_conflicts", r"""
 SELECT t.id, TRUE AS blocks_delete, bool_or(j.type = 'generation' AND j.pinned_model IS NULL) AS blocks_reanalysis
 FROM {templates} t JOIN {jobs} j ON j.template_id = t.id WHERE j.status IN ('queued', 'processing') GROUP BY t.id
