@@ -328,9 +328,6 @@ def fallback_slots(shapes: DataFrame, slots: DataFrame, owned: DataFrame, struct
     return titles.unionByName(texts)
 
 
-def static_shapes(shapes: DataFrame, owned: DataFrame) -> DataFrame:
-    return shapes.select(*SLIDE, "shape_id").join(owned.select(*SLIDE, "shape_id"), [*SLIDE, "shape_id"], "left_anti")
-
 
 def synthesize_chart_canvas(slides: DataFrame, slots: DataFrame, targets: DataFrame, shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chart canvases, one per fitting slide, and the shapes each must preserve.
@@ -361,14 +358,6 @@ def synthesize_chart_canvas(slides: DataFrame, slots: DataFrame, targets: DataFr
     return canvases, preserved
 
 
-def retained_slots(slots: DataFrame, canvases: DataFrame, titles: DataFrame) -> DataFrame:
-    """Slots a canvas slide keeps: titles only on a dedicated chart slide, else all but required ones."""
-    flags = canvases.select(*SLIDE, F.col("required").alias("dedicated"))
-    title = titles.select(*SLOT).distinct().withColumn("is_title", F.lit(True))
-    joined = slots.join(flags, SLIDE, "left").join(title, SLOT, "left").withColumn("is_title", F.coalesce("is_title", F.lit(False)))
-    kept = joined.filter("dedicated is null or not dedicated or is_title").filter("dedicated is null or slot_id <> 'chart_visual'")
-    return kept.withColumn("required", F.col("required") & (F.col("dedicated").isNull() | F.col("is_title"))).drop("dedicated", "is_title")
-
 
 def select_chart_canvas(canvases: DataFrame) -> DataFrame:
     """Best canvas per deck and chart subtype: exact preference, same family, any; then area, slide.

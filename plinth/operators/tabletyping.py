@@ -360,12 +360,3 @@ def validate_shares(assets: DataFrame, cells: DataFrame, columns: DataFrame) ->
         _dataset_issue(missing, "share_without_number", F.lit("share dataset has no numeric column")),
         _dataset_issue(wrong, "shares_not_100", F.lit("pie/donut shares must sum to 100")),
     ])
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Keep the first row of each key; a bounded-size aggregation, not a sort of the group."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
-    return best.select(*keys, "_first.*")
-
-

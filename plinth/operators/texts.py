@@ -66,10 +66,6 @@ def ground_numbers(claims: DataFrame, sources: DataFrame) -> DataFrame:
     return claimed.select("request_id", "path", "number").join(grounded, ["request_id", "path", "number"], "left_anti")
 
 
-def ungrounded_issues(claims: DataFrame, sources: DataFrame) -> DataFrame:
-    message = F.concat(F.lit("number "), F.col("number"), F.lit(" is absent from referenced sources"))
-    return issue_rows(ground_numbers(claims, sources), "number_not_grounded", F.col("path"), message)
-
 
 def missing_references(requests: DataFrame, assets: DataFrame, images: DataFrame) -> DataFrame:
     """``request_id, kind, name``: datasets and image files a request names but does not provide."""
@@ -89,12 +85,6 @@ def missing_references(requests: DataFrame, assets: DataFrame, images: DataFrame
     )
 
 
-def missing_reference_issues(missing: DataFrame) -> DataFrame:
-    dataset = F.col("kind") == "dataset"
-    path = F.when(dataset, F.lit("structured_assets")).otherwise(F.lit("provided_images"))
-    message = F.concat(F.lit("missing "), F.col("kind"), F.lit(" "), F.col("name"))
-    return issue_rows(missing, "missing_input_asset", path, message)
-
 
 def requested_visuals(requests: DataFrame, names: DataFrame) -> DataFrame:
     """``names``: ``request_id, asset_id``."""
@@ -235,8 +225,3 @@ def match_icons(items: DataFrame, icons: dict[str, list[str]] | None = None) ->
     lookup = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
     found = F.try_element_at(lookup, S.squeeze(F.lower(F.coalesce("icon_query", F.lit("")))))
     return items.withColumn("icon", F.coalesce(found, F.lit(NEUTRAL_ICON))).withColumn("icon_fallback", found.isNull())
-
-
-def icon_issues(matched: DataFrame, path: Column) -> DataFrame:
-    message = F.concat(F.lit("no icon matches "), F.coalesce("icon_query", F.lit("")), F.lit("; neutral icon used"))
-    return issue_rows(matched.filter("icon_fallback"), "icon_fallback", path, message, severity="warning")

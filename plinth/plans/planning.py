@@ -256,23 +256,67 @@ def _(t: Tables):
     )
 
 
-define("pl_used", "SELECT DISTINCT request_id, number, asset_id FROM {pl_assignments} WHERE content_kind = 'visual'")
-define("pl_cited", "SELECT DISTINCT a.request_id, s.number, a.asset_id FROM {pl_assets} a JOIN {pl_slides} s ON s.request_id = a.request_id WHERE (s.o_orderkey + a.asset_ix) % 4 = 1")
-define("pl_titles", "SELECT request_id, asset_ix, asset_id, CASE WHEN asset_ix = 0 THEN 'urgent P' ELSE 'low' END AS title FROM {pl_assets}")
-define("pl_slide_texts", "SELECT request_id, number, purpose AS text FROM {pl_slides}")
+define("gr_used", """
+SELECT DISTINCT request_id, number, asset_id FROM {pl_assignments} WHERE content_kind = 'visual' UNION SELECT request_id, number, chart_asset_id FROM {pl_slides} WHERE chart_asset_id IS NOT NULL
+""")
+define("gr_cited", "SELECT request_id, number, substr(source_id, 7) AS asset_id FROM {ol_slides} WHERE source_id IS NOT NULL")
+define("gr_texts", "SELECT request_id, number, purpose || ' ' || cited AS text FROM {ol_slides}")
+define("gr_titles", "SELECT request_id, asset_ix, asset_id, CASE WHEN asset_ix % 3 = 1 THEN 'household' ELSE title END AS title FROM {ol_assets}")
+define("gr_slides", """
+SELECT s.request_id, s.deck_id, s.number, s.template_family_id, s.template_slide_number, coalesce(f.slide_class, 'other') AS template_class, s.chart_asset_id FROM {pl_slides} s
+LEFT JOIN {pl_families} f ON f.deck_id = s.deck_id AND f.family_id = s.template_family_id AND f.slide_number = s.template_slide_number
+""")
+define("gr_slots", "SELECT deck_id, slide_number, slot_ix, slot_id, kind, required, CAST(CASE WHEN slot_ix % 4 = 0 THEN 12 END AS INT) AS max_chars FROM {pl_slots}")
+define("x_gr_selected", """
+SELECT c.request_id, c.asset_id, t.asset_ix, t.title, d.deck_id, c.family_id, f.slide_class, c.slide_number, c.slot_id, c.visual_kind, c.visual_subtype,
+  dense_rank() OVER (PARTITION BY c.request_id ORDER BY t.asset_ix) AS k
+FROM (SELECT * FROM {x_ol_compatible} QUALIFY row_number() OVER (PARTITION BY request_id, asset_id ORDER BY family_id, slide_number, slot_id) = 1) c
+JOIN {gr_titles} t ON t.request_id = c.request_id AND t.asset_id = c.asset_id JOIN (SELECT DISTINCT request_id, deck_id FROM {pl_slides}) d ON d.request_id = c.request_id
+JOIN {pl_families} f ON f.deck_id = d.deck_id AND f.family_id = c.family_id AND f.slide_number = c.slide_number
+""")
+define("x_gr_options", """
+SELECT * FROM (SELECT a.request_id, a.k, a.asset_id, s.number, CASE WHEN EXISTS (SELECT 1 FROM {gr_used} u WHERE u.request_id = a.request_id AND u.asset_id = a.asset_id AND u.number = s.number) THEN 0
+   WHEN EXISTS (SELECT 1 FROM {gr_cited} c WHERE c.request_id = a.request_id AND c.asset_id = a.asset_id AND c.number = s.number) THEN 1 WHEN contains(lower(s.text), lower(a.title)) THEN 2 WHEN s.number > 1 THEN 3 END AS rank
+   FROM {x_gr_selected} a JOIN {gr_texts} s ON s.request_id = a.request_id) o WHERE rank IS NOT NULL
+""")
+define("x_gr_taken", """
+SELECT request_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS asset_id, CAST(NULL AS INT) AS number, CAST([] AS INT[]) AS taken FROM (SELECT DISTINCT request_id FROM {x_gr_selected}) r
+UNION ALL
+(SELECT request_id, k, asset_id, number, CASE WHEN number IS NULL THEN taken ELSE list_append(taken, number) END FROM (
+  SELECT t.request_id, a.k, a.asset_id, o.number, t.taken, row_number() OVER (PARTITION BY t.request_id ORDER BY o.rank NULLS LAST, o.number) AS rn
+  FROM x_gr_taken t JOIN {x_gr_selected} a ON a.request_id = t.request_id AND a.k = t.k + 1 LEFT JOIN {x_gr_options} o ON o.request_id = a.request_id AND o.k = a.k AND NOT list_contains(t.taken, o.number)) c WHERE rn = 1)
+""")
 
 
 @query("ground_assets", r"""
-WITH p AS (SELECT a.request_id, a.asset_ix, a.asset_id, s.number, CASE WHEN EXISTS (SELECT 1 FROM {pl_used} u WHERE u.request_id = a.request_id AND u.asset_id = a.asset_id AND u.number = s.number) THEN 0
-   WHEN EXISTS (SELECT 1 FROM {pl_cited} c WHERE c.request_id = a.request_id AND c.asset_id = a.asset_id AND c.number = s.number) THEN 1 WHEN contains(lower(s.text), lower(a.title)) THEN 2 WHEN s.number > 1 THEN 3 END AS rank
-   FROM {pl_titles} a JOIN {pl_slide_texts} s ON s.request_id = a.request_id),
- k AS (SELECT *, dense_rank() OVER (PARTITION BY request_id ORDER BY asset_ix) AS k FROM p WHERE rank IS NOT NULL),
- one AS (SELECT * FROM k WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY rank, number) = 1),
- two AS (SELECT k.* FROM k JOIN one ON one.request_id = k.request_id AND one.number <> k.number WHERE k.k = 2 QUALIFY row_number() OVER (PARTITION BY k.request_id ORDER BY k.rank, k.number) = 1)
-SELECT request_id, asset_id, number FROM one UNION ALL SELECT request_id, asset_id, number FROM two
+WITH c AS (SELECT w.number, s.* FROM {x_gr_taken} w JOIN {x_gr_selected} s ON s.request_id = w.request_id AND s.asset_id = w.asset_id WHERE w.number IS NOT NULL),
+ l AS (SELECT c.request_id, c.number, c.asset_id, c.title, c.visual_kind, c.visual_subtype, v.slot_ix, v.slot_id, v.kind, v.required, v.max_chars, v.slot_id = c.slot_id AS shows
+   FROM c JOIN {gr_slots} v ON v.deck_id = c.deck_id AND v.slide_number = c.slide_number),
+ p AS (SELECT *, CASE WHEN NOT shows AND kind = 'text' THEN row_number() OVER (PARTITION BY request_id, number, NOT shows AND kind = 'text' ORDER BY slot_ix, slot_id) END AS place FROM l),
+ a AS (SELECT request_id, number, action, text, row_number() OVER (PARTITION BY request_id, number ORDER BY assign_ix) AS place FROM {pl_assignments} WHERE content_kind = 'text'),
+ m AS (SELECT p.*, a.place IS NOT NULL AS written, a.action AS w_action, a.text AS w_text FROM p LEFT JOIN a ON a.request_id = p.request_id AND a.number = p.number AND a.place = p.place),
+ r AS (SELECT request_id, number, slot_ix AS assign_ix, slot_id, CASE WHEN shows THEN 'visual' ELSE kind END AS kind,
+   CASE WHEN shows THEN 'replace' WHEN kind = 'text' AND written THEN w_action WHEN kind = 'text' AND required THEN 'replace' WHEN kind = 'image' AND required THEN 'keep' WHEN NOT required THEN 'clear' END AS action,
+   CASE WHEN shows THEN 'visual' WHEN kind = 'text' AND (written OR required) THEN 'text' END AS content_kind, CASE WHEN shows THEN asset_id END AS asset_id, CASE WHEN shows THEN visual_kind END AS visual_kind,
+   CASE WHEN shows THEN visual_subtype END AS visual_subtype, CASE WHEN shows THEN NULL WHEN kind = 'text' AND written THEN w_text WHEN kind = 'text' AND required THEN CASE WHEN max_chars > 0 THEN substr(title, 1, max_chars) ELSE title END END AS text FROM m),
+ o AS (SELECT * FROM r WHERE action IS NOT NULL
+   UNION ALL SELECT request_id, number, assign_ix, slot_id, kind, action, content_kind, asset_id, visual_kind, visual_subtype, text FROM {pl_assignments} x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.request_id = x.request_id AND c.number = x.number))
+SELECT o.*, CASE WHEN c.number IS NOT NULL THEN c.family_id ELSE s.template_family_id END AS template_family_id, CASE WHEN c.number IS NOT NULL THEN c.slide_number ELSE s.template_slide_number END AS template_slide_number,
+  CASE WHEN c.number IS NOT NULL THEN c.slide_class ELSE s.template_class END AS template_class, CASE WHEN c.number IS NULL THEN s.chart_asset_id WHEN c.visual_kind = 'chart' THEN c.asset_id END AS chart_asset_id
+FROM o JOIN {gr_slides} s ON s.request_id = o.request_id AND s.number = o.number LEFT JOIN c ON c.request_id = o.request_id AND c.number = o.number
 """)
 def _(t: Tables):
-    return P.ground_assets(P.ground_options(t.stored("pl_slide_texts"), t.stored("pl_titles"), t.stored("pl_used"), t.stored("pl_cited")))
+    """Claims and the slots they rewrite, each row with the template its slide has then."""
+    compatible, _ = guidance_of(t, "ol_assets")
+    pick = F.struct("family_id", "slide_number", "slot_id", "visual_kind", "visual_subtype")
+    best = cut_lineage(compatible.groupBy("request_id", "asset_id").agg(F.min(pick).alias("p")).select("request_id", "asset_id", "p.*"))
+    decks = t.stored("pl_slides").select("request_id", "deck_id").distinct()
+    selected = best.join(t("gr_titles"), ["request_id", "asset_id"]).join(decks, "request_id").join(t.stored("pl_families"), ["deck_id", "family_id", "slide_number"])
+    titles = selected.select("request_id", "asset_ix", "asset_id", "title")
+    claimed = cut_lineage(P.ground_assets(P.ground_options(t("gr_texts"), titles, t("gr_used"), t("gr_cited"))))
+    rows = t.stored("pl_assignments").drop("deck_id", "l_orderkey", "page")
+    slides, laid = P.rewrite_claimed(t("gr_slides"), rows, claimed, selected, t("gr_slots"))
+    return laid.join(slides.drop("deck_id"), P.PLAN_SLIDE)
 
 
 define("image_slots", """
