@@ -185,10 +185,27 @@ def spacing_regular(bands_of_slide: DataFrame) -> DataFrame:
     return distinct.groupBy(*SLIDE).agg(F.count(F.lit(1)).alias("n_bands"), regular(centres).alias("is_regular"))
 
 
-def _best_alignment(members: DataFrame, free: DataFrame, least: int, spaced: bool) -> DataFrame:
-    """Bands of the widest aligned set per slide, with ``band_ix`` in order of their centres."""
-    centres = members.select(*SLIDE, F.col("cluster").alias("other"), "band_centre").distinct()
-    sets = align_bands(members).join(centres, [*SLIDE, "other"]).groupBy(*SLIDE, "n", "cluster").agg(
+def band_rows(clustered: DataFrame, item_axis: str) -> DataFrame:
+    """Clusters of two or more as rows: ``cluster, n, band_centre, members``, the members in their order along the band.
+
+    A row holds one band, not a slide; place and edge of a member are its index and ``anchor``.
+    """
+    one = F.struct(center(item_axis).alias("item_centre"), "shape_id", F.col(item_axis).alias("anchor"))
+    return clustered.groupBy(*SLIDE, "cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("centre").alias("band_centre"), F.array_sort(F.collect_list(one)).alias("members")
+    ).filter("n >= 2")
+
+
+def _best_alignment(held: DataFrame, free: DataFrame, least: int, spaced: bool) -> DataFrame:
+    """Members of the widest aligned set of bands per slide, ``band_ix`` in order of centres and ``ix`` along the band.
+
+    ``held``: ``band_rows``. Bands of a slide are at least a tolerance apart, so few meet, each as the edges of its members.
+    """
+    edges = F.transform("members", lambda m: m["anchor"])
+    left = held.select(*SLIDE, "n", "cluster", edges.alias("edges"))
+    right = held.select(*SLIDE, "n", F.col("cluster").alias("other"), "band_centre", edges.alias("other_edges"))
+    near = F.forall(F.zip_with("edges", "other_edges", lambda a, b: F.abs(a - b) <= ALIGN_LIMIT), lambda close: close)
+    sets = left.join(right, [*SLIDE, "n"]).filter(near).groupBy(*SLIDE, "n", "cluster").agg(
         F.array_sort(F.collect_list(F.struct(F.col("band_centre").alias("c"), F.col("other").alias("b")))).alias("set")
     ).filter(F.size("set") >= least)
     if spaced:
@@ -197,11 +214,10 @@ def _best_alignment(members: DataFrame, free: DataFrame, least: int, spaced: boo
     best = sets.groupBy(*SLIDE).agg(
         F.max_by(F.struct("set", total.alias("total")), F.struct(total, -F.col("cluster"))).alias("best")
     )
-    return (
-        best.join(free, SLIDE).filter(F.col("best.total") >= F.col("n_free") * COVERAGE)
-        .select(*SLIDE, F.posexplode("best.set").alias("band_ix", "s"))
-        .select(*SLIDE, "band_ix", F.col("s.b").alias("cluster"))
-    )
+    chosen = best.join(free, SLIDE).filter(F.col("best.total") >= F.col("n_free") * COVERAGE).select(*SLIDE, F.posexplode("best.set").alias("band_ix", "s"))
+    return chosen.select(*SLIDE, "band_ix", F.col("s.b").alias("cluster")).join(held, [*SLIDE, "cluster"]).select(
+        *SLIDE, "band_ix", F.posexplode("members").alias("ix", "m")
+    ).select(*SLIDE, "band_ix", "ix", F.col("m.shape_id").alias("shape_id"))
 
 
 def _without(shapes: DataFrame, occupied: DataFrame | None) -> DataFrame:
@@ -218,10 +234,9 @@ def detect_grids(shapes: DataFrame) -> DataFrame:
     """
     texts = shapes.filter("type = 'text'")
     free = tolerance(texts, "height", 0.45, 0.009, 0.025).filter("n_free >= 6")
-    members = cut_lineage(bands(cut_lineage(cluster_axis(texts, "y", free.select(*SLIDE, "tolerance"))), "x"))
-    rows = _best_alignment(members, free, 3, True)
+    held = cut_lineage(band_rows(cluster_axis(texts, "y", free.select(*SLIDE, "tolerance")), "x"))
     none = F.lit(None).cast("string")
-    return rows.join(members, [*SLIDE, "cluster"]).select(
+    return _best_alignment(held, free, 3, True).select(
         *SLIDE, F.lit("grid_0").alias("structure_id"), F.lit("grid").alias("kind"), "shape_id",
         F.lit("content").alias("role"), F.col("band_ix").alias("row"), F.col("ix").alias("col"),
         none.alias("field_id"), none.cast("int").alias("item_ix"),
@@ -254,12 +269,9 @@ def detect_repeats(shapes: DataFrame, axis: str) -> DataFrame:
     texts = shapes.filter("type = 'text'").filter(F.least("width", "height") > THIN)
     size = "height" if axis == "y" else "width"
     free = tolerance(texts, size, 0.55, 0.012, 0.035).filter("n_free >= 4")
-    members = cut_lineage(
-        bands(cut_lineage(cluster_axis(texts, axis, free.select(*SLIDE, "tolerance"))), "x" if axis == "y" else "y")
-    )
-    fields = _best_alignment(members, free, 2, False)
+    held = cut_lineage(band_rows(cluster_axis(texts, axis, free.select(*SLIDE, "tolerance")), "x" if axis == "y" else "y"))
     none = F.lit(None).cast("int")
-    return fields.join(members, [*SLIDE, "cluster"]).select(
+    return _best_alignment(held, free, 2, False).select(
         *SLIDE, F.lit("repeat_0").alias("structure_id"), F.lit("repeat").alias("kind"), "shape_id",
         F.lit("content").alias("role"), none.alias("row"), none.alias("col"),
         F.concat(F.lit("field_"), "band_ix").alias("field_id"), F.col("ix").alias("item_ix"),
