@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plinth.functions import textual as X
+from plinth.operators import gates as G
 from plinth.operators import texts as O
 from plinth.plans.registry import Tables, define, query
 
@@ -47,6 +48,16 @@ def _(t: Tables):
     return O.chunk_sources(t("requests"), t("request_assets"), t("request_images"))
 
 
+@query("default_facts", r"""
+SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY CASE kind WHEN 'brief' THEN 1 WHEN 'content' THEN 2 ELSE 3 END, seq) - 1 AS fact_ix,
+  'source_' || row_number() OVER (PARTITION BY request_id ORDER BY CASE kind WHEN 'brief' THEN 1 WHEN 'content' THEN 2 ELSE 3 END, seq) AS fact_id, text, source_id, TRUE AS mandatory
+FROM {x_sources} WHERE kind <> 'image'
+""")
+def _(t: Tables):
+    facts = G.default_facts(O.chunk_sources(t("requests"), t("request_assets"), t("request_images")))
+    return facts.withColumn("source_id", F.get("source_refs", F.lit(0))).drop("source_refs")
+
+
 define("number_texts", "SELECT request_id, brief || chr(10) || content_package AS text FROM {requests}")
 
 
