@@ -138,38 +138,49 @@ def allocate_orphans(sources: DataFrame, slide_refs: DataFrame, slides: DataFram
     return ranked.join(counts, "request_id").select("request_id", "source_id", turn.cast("int").alias("number"))
 
 
-#: Places of three letters in a row that can be part of a title word.
+#: Places of three letters in a row.
 _TRIGRAMS = r"(?=([\p{L}\p{N}_-]{3}))"
 
 
-def word_overlap_score(titles: DataFrame, slides: DataFrame) -> DataFrame:
-    """``request_id, asset_id, number, overlap``: how many distinct words of an asset's title stand, also inside of words, in
-    the texts that a slide cites or in its purpose; a row per asset and slide of a request.
+def found_inside(asked: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """``request_id, *keys, needle``: which ``needle`` stands, also inside of words, in which text of its request.
 
-    ``titles``: ``request_id, asset_id, title``; ``slides``: ``request_id, number, purpose, cited``. Words and slides meet
-    under the word's trigram that fewest slides of the request hold; a word with a trigram that none holds meets nothing.
-    What met is looked up in the slide's text, which stays in the slide's row; pairs carry numbers only.
+    ``asked``: distinct ``request_id, needle``; ``texts``: ``request_id, *keys, text``, one row per key. A needle meets texts
+    under that of its trigrams which fewest texts of the request hold, none if no text holds it; one without a trigram
+    meets all. What met is looked up in the text, which stays in its own row; only needles and keys are paired.
     """
     def grams(text: Column) -> Column:
         return F.array_distinct(F.regexp_extract_all(text, F.lit(_TRIGRAMS), F.lit(1)))
 
-    words = titles.select("request_id", "asset_id", F.explode(X.long_words(F.col("title"))).alias("word"))
+    place = ["request_id", *keys]
+    postings = texts.select(*place, F.explode(grams(F.col("text"))).alias("gram"))
+    held = postings.groupBy("request_id", "gram").agg(F.count(F.lit(1)).alias("held_by"))
+    told = asked.select("request_id", "needle", F.explode_outer(grams(F.col("needle"))).alias("gram"))
+    rarest = told.join(held, ["request_id", "gram"], "left").groupBy("request_id", "needle").agg(F.min(F.struct(F.coalesce("held_by", F.lit(0)).alias("held_by"), "gram")).alias("r"))
+    long = rarest.filter("r.gram IS NOT NULL AND r.held_by > 0").select("request_id", "needle", F.col("r.gram").alias("gram")).join(postings, ["request_id", "gram"])
+    short = rarest.filter("r.gram IS NULL").select("request_id", "needle").join(texts.select(*place), "request_id")
+    asked_of = long.select(*place, "needle").unionByName(short.select(*place, "needle")).groupBy(*place).agg(F.collect_set("needle").alias("needles"))
+    inside = F.filter("needles", lambda n: F.contains(F.col("text"), n))
+    return asked_of.join(texts, place).select(*place, F.explode(inside).alias("needle"))
+
+
+def word_overlap_score(titles: DataFrame, slides: DataFrame) -> DataFrame:
+    """``request_id, asset_id, number, overlap``: how many distinct words of an asset's title stand, also inside of words, in
+    the texts that a slide cites or in its purpose; a row per asset and slide of a request.
+
+    ``titles``: ``request_id, asset_id, title``; ``slides``: ``request_id, number, purpose, cited``. Words meet slides as in
+    ``found_inside``; asset and slide are paired without texts.
+    """
+    words = titles.select("request_id", "asset_id", F.explode(X.long_words(F.col("title"))).alias("needle"))
     texts = slides.select("request_id", "number", F.lower(F.concat_ws("\n", "cited", "purpose")).alias("text"))
-    postings = texts.select("request_id", "number", F.explode(grams(F.col("text"))).alias("gram"))
-    held = postings.groupBy("request_id", "gram").agg(F.count(F.lit(1)).alias("n"))
-    asked = words.select("request_id", "word").distinct().select("request_id", "word", F.explode(grams(F.col("word"))).alias("gram"))
-    met = asked.join(held, ["request_id", "gram"], "left").groupBy("request_id", "word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
-    near = met.filter("rarest.n > 0").select("request_id", "word", F.col("rarest.gram").alias("gram")).join(postings, ["request_id", "gram"])
-    asked_of = near.groupBy("request_id", "number").agg(F.collect_set("word").alias("words"))
-    inside = F.filter("words", lambda w: F.contains(F.col("text"), w))
-    found = asked_of.join(texts, ["request_id", "number"]).select("request_id", "number", F.explode(inside).alias("word"))
-    overlap = found.join(words, ["request_id", "word"]).groupBy("request_id", "asset_id", "number").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
+    found = found_inside(words.select("request_id", "needle").distinct(), texts, ["number"])
+    overlap = found.join(words, ["request_id", "needle"]).groupBy("request_id", "asset_id", "number").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
     pairs = titles.select("request_id", "asset_id").join(slides.select("request_id", "number"), "request_id")
     return pairs.join(overlap, ["request_id", "asset_id", "number"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
 
 
 def enrich_profiles(profiles: DataFrame, sources: DataFrame) -> DataFrame:
-    """Details for profiles without any, taken from cited chunks or chunks that name the person.
+    """Details for profiles without any, taken from cited chunks or chunks that name the person (``found_inside``).
 
     ``profiles``: ``request_id, number, slot_id, item_ix, name, source_refs, max_chars``. Returns
     ``..., detail_ix, detail, source_id``.
@@ -179,7 +190,11 @@ def enrich_profiles(profiles: DataFrame, sources: DataFrame) -> DataFrame:
     told = sources.filter(about).select("request_id", "source_id", "seq", "text")
     cited = profiles.withColumn("source_id", F.explode(F.array_distinct("source_refs"))).join(told, ["request_id", "source_id"])
     uncited = profiles.join(cited.select(*keys).distinct(), keys, "left_anti")
-    named = uncited.join(told, "request_id").filter(F.contains(F.lower("text"), F.lower("name")))
+    # Names and chunks are paired by source and name; the text joins what was found.
+    lower = told.select("request_id", "source_id", "seq", F.lower("text").alias("text"))
+    names = uncited.select("request_id", F.lower("name").alias("needle")).filter("needle IS NOT NULL").distinct()
+    holders = found_inside(names, lower, ["source_id", "seq"])
+    named = uncited.withColumn("needle", F.lower("name")).join(holders, ["request_id", "needle"]).join(told, ["request_id", "source_id", "seq"])
     columns = [*keys, "max_chars", "seq", "source_id", "text"]
     parts = cited.select(*columns).unionByName(named.select(*columns)).select(
         *keys, "max_chars", "seq", "source_id", F.posexplode(F.split("text", X.DETAIL_BREAK)).alias("part_ix", "part")
