@@ -22,7 +22,7 @@ WINDOW = 13
 #: Bytes of text after which a shard is closed; a longer document is a shard of its own.
 SHARD_BYTES = 4_000_000
 #: Words of test items that are planned and broadcast at once; more items are searched in blocks of this size.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 100_000
 INDEX = (
     "shard long, doc_ids array<bigint>, text_hashes array<bigint>, sizes array<int>, "
     "terms array<binary>, counts array<int>, positions binary"
