@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.session import shared_folder
+from plinth.session import arrow_rows, shared_folder
 
 LONGEST, LEAST, KEPT, COVERED = 3, 10, 2000, 50
 #: Ranked words and ranked longer phrases, of all languages together, at most. A right rank has RIGHT bits.
@@ -32,11 +32,11 @@ HEAD, PHRASE_HEAD, RIGHT = 500_000, 2_000_000, 20
 #: Bits of the bitmap that tells units beyond the head which may be frequent.
 BITS = 1 << 26
 #: Ranks of the tiled zone, side of a tile, and the filling from which a tile is counted densely (cells per occurrence).
-ZONE, SIDE, FILLED = 8192, 1024, 16
+ZONE, SIDE, FILLED = 8192, 512, 16
 #: First sums of a tile before its last one; occurrences per list of sparse pairs; pairs that a task holds.
-SALTS, LIST, HELD = 16, 1_000_000, 3_000_000
-#: Bytes of text that are split into words at once.
-SLICE = 2_000_000
+SALTS, LIST, HELD = 16, 1_000_000, 1_000_000
+#: Bytes of text that are split into words at once, distinct words that a task counts at once, texts in an Arrow batch.
+SLICE, COUNTED, ROWS = 1_000_000, 150_000, 1000
 _ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
 _SPLIT = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 PACKED = "lang string, tile int, salt int, keys binary, counts binary"
@@ -95,7 +95,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             own = heard.setdefault(lang, Counter())
             own.update(found)
             total[lang] += len(found) - own.pop(b"\n", 0)
-            if sum(map(len, heard.values())) > HEAD:
+            if sum(map(len, heard.values())) > COUNTED:
                 yield from out()
         yield from out()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(len(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["lang", "phrase", "n"])
@@ -209,14 +209,14 @@ def _packed(ranks: Ranks, lang: str, key: np.ndarray, salt: int, lists: int) ->
             counts = counts[cells]
         else:
             cells, counts = np.unique(cell[a:b], return_counts=True)
-        yield lang, int(tile[a]), salt, cells.astype("<i8").tobytes(), counts.astype("<i8").tobytes()
+        yield lang, int(tile[a]), salt, cells.astype("<u4").tobytes(), counts.astype("<u4").tobytes()
     key, counts = np.unique(key[~zone], return_counts=True)
     own = _list_of(key, lists)
     order = np.argsort(own, kind="stable")
     key, counts, own = key[order], counts[order], own[order]
     ends = np.flatnonzero(np.r_[own[1:] != own[:-1], True]) + 1 if len(own) else []
     for a, b in zip([0, *ends[:-1]], ends, strict=False):
-        yield lang, -1 - int(own[a]), 0, key[a:b].astype("<i8").tobytes(), counts[a:b].astype("<i8").tobytes()
+        yield lang, -1 - int(own[a]), 0, key[a:b].astype("<i8").tobytes(), counts[a:b].astype("<u4").tobytes()
 
 
 def _list_of(key: np.ndarray, lists: int) -> np.ndarray:
@@ -232,11 +232,15 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _added(batches: Iterator[pa.RecordBatch], cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the packed rows of one tile or list. A tile is held as its cells; a list as its entries."""
+    """Sum of the packed rows of one tile or list. A tile is held as its cells; a list as its entries.
+
+    Cells are packed in four bytes, other keys in eight; counts in four, or in eight where they are sums of several rows.
+    """
     dense, keys, counts = None, [], []
     for batch in batches:
         for tile, key, count in zip(batch.column("tile").to_pylist(), batch.column("keys"), batch.column("counts"), strict=True):
-            key, count = np.frombuffer(key.as_py(), "<i8"), np.frombuffer(count.as_py(), "<i8")
+            key, raw = np.frombuffer(key.as_py(), "<u4" if tile >= 0 else "<i8"), count.as_py()
+            count = np.frombuffer(raw, f"<u{len(raw) // len(key)}").astype(np.int64) if len(key) else np.zeros(0, np.int64)
             if tile >= 0:
                 dense = np.zeros(cells, np.int64) if dense is None else dense
                 dense[key] += count
@@ -276,7 +280,7 @@ def _count_ranked(texts: DataFrame, spread, lists: dict[str, int], least: int) -
 
     def partly(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = _added(batches, side * side)
-        yield _rows([(key[0].as_py(), key[1].as_py(), 0, keys.astype("<i8").tobytes(), counts.astype("<i8").tobytes())], PACKED)
+        yield _rows([(key[0].as_py(), key[1].as_py(), 0, keys.astype("<u4").tobytes(), counts.astype("<u8").tobytes())], PACKED)
 
     def finish(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = _added(batches, side * side)
@@ -397,8 +401,9 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, ke
     its bytes. Repeated rows count again; a language without words, or an empty table, has no rows. Other columns are
     not read. Counts must stay below 10^14.
     """
-    levels, totals = frequent_phrases(docs, longest, least)
     spark = docs.sparkSession
+    with arrow_rows(spark, ROWS):
+        levels, totals = frequent_phrases(docs, longest, least)
     folder = shared_folder(spark, "scored-phrases")
     _scored(levels).write.parquet(folder)
     scored = spark.read.schema("lang string, phrase string, size int, a long, l long, r long, score long").parquet(folder)
