@@ -144,6 +144,41 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op12_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3]) AS k) ks WHERE len(ws) >= k
+),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= 10),
+cuts AS (
+  SELECT lang, k, phrase, a, j, array_to_string(ws[1:j], ' ') AS x, array_to_string(ws[j + 1:k], ' ') AS y
+  FROM c, (SELECT unnest([1, 2]) AS j) js WHERE j < k
+),
+s AS (
+  SELECT u.lang, u.k, u.phrase, u.a, u.j, l.n AS l, r.n AS r, (1000000::HUGEINT * u.a * u.a) // (l.n::HUGEINT * r.n) AS score
+  FROM cuts u JOIN f l ON l.lang = u.lang AND l.k = u.j AND l.phrase = u.x JOIN f r ON r.lang = u.lang AND r.k = u.k - u.j AND r.phrase = u.y
+),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+m AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3) i GROUP BY ALL
+),
+kept AS (SELECT b.* FROM best b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE m.longer IS NULL OR 100 * m.longer < 50 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, score::BIGINT AS score
+  FROM kept JOIN t ON t.lang = kept.lang
+) x WHERE rank <= 2000
+"""
+
+
 @query
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash", "n_words")
