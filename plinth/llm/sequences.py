@@ -10,6 +10,8 @@ written by Spark last: a file that no manifest row names (of a task that failed
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -26,22 +28,37 @@ SEQUENCE = 2048
 BATCH = 256
 #: Pieces that a worker remembers (at most twice as many, some 150 bytes each).
 REMEMBERED = 400_000
+#: New pieces that are encoded as one text, and characters of the texts that are encoded together (a longer text is alone).
+JOINED, TOGETHER = 2000, 4_000_000
 END = 0
 MANIFEST = "part int, ids_path string, docs_path string, n_docs long, n_tokens long, first_id long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+_MARKS = ".,;:!?)"
+_WORD = re.compile(f"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+)([{re.escape(_MARKS)}]*)")
+#: Byte-level spelling: printable bytes stand for themselves, the others, in order, for the characters from U+0100 on.
+_SPACE = "\u0120"
+_MARKED = re.compile(f"(?<=[^{re.escape(_MARKS)}])(?=[{re.escape(_MARKS)}])")
+_SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
+def _chunks(pieces: list[str]) -> list[list[str]]:
+    return [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+
+
 class Encoder:
     """Whole texts to ids with a tokenizer file whose pre-tokeniser is byte-level.
 
     Such a pre-tokeniser always ends a token before a single space that follows a non-space, so a text is the sum of
-    its pieces cut there, and a piece met before need not be encoded again. New pieces of a text are encoded joined;
-    the ids of a piece start at the only one of its tokens that holds a space. Texts with other white space at such a
+    its pieces cut there, and a piece met before need not be encoded again. New pieces are encoded joined, those of many texts at
+    once; the ids of a piece start at the only one of its tokens that holds a space. Texts with other white space at such a
     cut (double spaces, a space after a newline) are given to the tokenizer whole, as are all texts when the tokenizer
     is of another kind. The result always equals ``Tokenizer.encode(text, add_special_tokens=False)``.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,46 +66,75 @@ class Encoder:
         self.tokenizer.no_truncation()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         before = self.tokenizer.pre_tokenizer
-        added = self.tokenizer.get_added_tokens_decoder().values()
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.cuts = (
             isinstance(before, pre_tokenizers.ByteLevel) and not before.add_prefix_space and before.use_regex and self.tokenizer.normalizer is None
             and isinstance(self.tokenizer.model, models.BPE) and not any(a.lstrip or a.rstrip or a.single_word or " " in a.content for a in added)
         )
+        # A word, and marks after it, are one pre-token each unless an added token could stand there.
+        self.words = self.cuts and all(any(not c.isalpha() and c not in _MARKS for c in a.content) for a in added)
+        # The same merges over pre-tokens that are cut and spelled already.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of new pieces; when the memory is full it becomes the older one, and what that still held is forgotten."""
+    def _learn(self, pieces: set[str], heads: set[str]) -> None:
+        """Ids of new pieces and first pieces (kept after a space); when the memory is full it becomes the older one, and what that still held is forgotten."""
         again = [p for p in pieces if p in self.older]
         self.recent.update((p, self.older[p]) for p in again)
-        new = list(pieces.difference(again))
-        if new:
-            ids = self._encode(" " + " ".join(new))
+        plain, wide, other = [], [], []
+        for piece in pieces.difference(again):
+            if not self.words or not _WORD.fullmatch(piece):
+                other.append(piece)
+            else:
+                (plain if piece.isascii() else wide).append(piece)
+        joined = [(own, " " + " ".join(own)) for own in _chunks(other)]
+        self._remember([own for own, _ in joined], self._encode([text for _, text in joined]))
+        spelled = [(own, text) for own in _chunks(plain) for text in [" " + " ".join(own)]]
+        spelled += [(own, text.encode().decode("latin-1").translate(_SPELLED)) for own in _chunks(wide) for text in [" " + " ".join(own)]]
+        # A space stands before each pre-token; marks after a word are one of their own.
+        told = [_MARKED.sub(" ", text.replace(" ", _SPACE)).replace(_SPACE, " " + _SPACE) for _, text in spelled]
+        if told:
+            found = [np.array(e.ids, self.dtype) for e in self.bare.encode_batch_fast(told, add_special_tokens=False)]
+            self._remember([own for own, _ in spelled], found)
+        first = list(heads)
+        self.recent.update((" " + p, ids.tobytes()) for p, ids in zip(first, self._encode(first), strict=True))
+
+    def _remember(self, groups: list[list[str]], encoded: list[np.ndarray]) -> None:
+        """Cuts the ids of joined pieces before each id that starts with a space."""
+        for own, ids in zip(groups, encoded, strict=True):
             ends = (np.flatnonzero(self.spaced[ids]) * self.dtype.itemsize).tolist()[1:]
             raw = ids.tobytes()
-            self.recent.update((p, raw[a:b]) for p, a, b in zip(new, [0, *ends], [*ends, len(raw)], strict=True))
+            self.recent.update((p, raw[a:b]) for p, a, b in zip(own, [0, *ends], [*ends, len(raw)], strict=True))
 
-    def ids(self, text: str) -> bytes:
-        """The ids of ``text`` as packed integers of ``dtype``."""
-        if not text:
-            return b""
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of ``texts`` as packed integers of ``dtype``; new pieces of all texts are encoded together."""
         if not self.cuts:
-            return self._encode(text).tobytes()
+            return [ids.tobytes() for ids in self._encode(texts)]
         if len(self.recent) > REMEMBERED:
             self.recent, self.older = {}, self.recent
-        head, *tail = text.split(" ")
-        recent = self.recent
-        unknown = {p for p in tail if p not in recent}
-        if head and head[-1].isspace() or not head and tail or any(not p or p[-1].isspace() for p in unknown):
-            return self._encode(text).tobytes()
-        if unknown:
-            self._learn(unknown)
-        return b"".join([self._encode(head).tobytes(), *map(recent.__getitem__, tail)])
+        recent, unknown, heads, whole, split = self.recent, set(), set(), [], []
+        for text in texts:
+            head, *tail = text.split(" ")
+            new = set(tail).difference(recent) - unknown
+            if head and head[-1].isspace() or not head and tail or any(not p or p[-1].isspace() for p in new):
+                whole.append(text)
+                split.append(None)
+                continue
+            unknown |= new
+            if " " + head not in recent:
+                heads.add(head)
+            split.append((" " + head, tail))
+        if unknown or heads:
+            self._learn(unknown, heads)
+        odd = iter(self._encode(whole) if whole else [])
+        return [next(odd).tobytes() if s is None else b"".join([recent[s[0]], *map(recent.__getitem__, s[1])]) for s in split]
 
 
 @lru_cache(maxsize=1)
@@ -164,31 +210,47 @@ class Sequences:
         return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts (null: empty) of at most about TOGETHER characters."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids.append(doc_id)
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size >= TOGETHER:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def write_sequences(docs: DataFrame, folder: str, tokenizer: Callable[[], str], length: int = SEQUENCE, end: int = END) -> DataFrame:
     """Tokenise ``docs`` (``doc_id``, ``text``) into files below ``folder``; returns the stored manifest.
 
     ``tokenizer`` gives the path of the tokenizer file where it is called, on the executors. Documents are ordered by
-    ``doc_id`` (null first, equal ids by text), each followed by the id ``end``; null texts count as empty.
+    ``doc_id`` (null first, equal ids by text), each followed by the id ``end``; null texts count as empty. A very long text
+    is held whole, as its pieces and its ids, in the task that writes it.
     """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, made = TaskContext.get().partitionId(), None, None
+        part, made = TaskContext.get().partitionId(), None
         ids, sizes = [], []
-        for batch in batches:
-            for doc_id, text in zip(*batch.columns, strict=True):
+        for doc_ids, texts in _together(batches):
+            encoder = encoder_of(tokenizer())
+            for doc_id, found in zip(doc_ids, encoder.batch(texts), strict=True):
                 if made is None:
-                    encoder = encoder_of(tokenizer())
                     paths = [f"{folder}/{part:06d}-{uuid.uuid4().hex}.{kind}.arrows" for kind in ("ids", "docs")]
                     store, place = _open(paths[0])
                     store.create_dir(place.rpartition("/")[0], recursive=True)
                     sink = store.open_output_stream(place)
                     made, last = SequenceFile(sink, encoder.dtype, length), encoder.dtype.type(end).tobytes()
-                found = encoder.ids(text.as_py() or "") + last
+                found += last
                 made.append(found)
-                ids.append(doc_id.as_py())
+                ids.append(doc_id)
                 sizes.append(len(found) // encoder.dtype.itemsize)
         if made is None:
             return
