@@ -270,3 +270,28 @@ def test_versions_stay_readable(spark, tmp_path):
     assert published(spark, folder, "two", 1).count() == 2
     assert publish_tables({"three": spark.range(5)}, folder, keep=False) == 3
     assert tables_of(spark, folder) == ["three"]
+
+
+def test_what_a_plan_makes_per_slot_is_not_shuffled(spark):
+    where = "request_id string, deck_id string, number int"
+    slides = spark.createDataFrame([("r", "k", 2, "f", 1, None), ("r", "k", 5, "none", 9, None)], f"{where}, template_family_id string, template_slide_number int, chart_asset_id string")
+    payload = "kind string, action string, content_kind string, asset_id string, visual_kind string, visual_subtype string, text string"
+    assignments = spark.createDataFrame(
+        [("r", 2, 2, "s1", "text", "replace", "text", None, None, None, "second"), ("r", 2, 1, "s1", "text", "replace", "text", None, None, None, "first"),
+         ("r", 2, 3, "s2", "visual", "replace", "visual", "x", "chart", "bar", None), ("r", 5, 1, "q", "text", "keep", None, None, None, None, None)],
+        f"request_id string, number int, assign_ix int, slot_id string, {payload}",
+    )
+    families = spark.createDataFrame([("k", "f", 1, "text")], "deck_id string, family_id string, slide_number int, slide_class string")
+    slots = spark.createDataFrame(
+        [("k", 1, i, f"s{i}", kind, required, False, None, None) for i, kind, required in ((1, "text", True), (2, "visual", False), (3, "image", False), (4, "text", True))],
+        "deck_id string, slide_number int, slot_ix int, slot_id string, kind string, required boolean, has_canvas boolean, cap_kinds array<string>, cap_subtypes array<string>",
+    )
+    cells = cells_of(spark, {"x": [["X", "Y"], ["1", "2"], ["3", "4"]]})
+    choices = V.visual_choices(assets_of(spark, ["x"]), T.infer_column_types(cells)).withColumn("deck_id", F.lit("k")).withColumn("title", F.lit("t"))
+    canvas = spark.createDataFrame([], "deck_id string, subtype string, family_id string, slide_number int")
+    _, rows = P.canonicalize_plan(slides, assignments, families, slots, choices, canvas)
+    found = sorted((r.number, r.slot_id, r.action, r.visual_subtype, r.text) for r in rows.collect())
+    assert found == [(1, "s1", "replace", None, "first"), (1, "s2", "replace", "scatter", None), (1, "s3", "clear", None, None), (2, "q", "keep", None, None)]
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    normal = plan[: plan.index("template_slide_number", plan.index("slot_ix"))]
+    assert "SortMergeJoin" not in normal and "ShuffledHashJoin" not in normal
