@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plinth.functions import textual as X
+from plinth.operators import gates as G
 from plinth.operators import layout as L
 from plinth.operators import planning as P
 from plinth.operators import tabletyping as T
@@ -295,3 +296,25 @@ def test_what_a_plan_makes_per_slot_is_not_shuffled(spark):
     plan = rows._jdf.queryExecution().sparkPlan().toString()
     normal = plan[: plan.index("template_slide_number", plan.index("slot_ix"))]
     assert "SortMergeJoin" not in normal and "ShuffledHashJoin" not in normal
+
+
+def test_slots_of_a_slide_are_compared_in_its_row(spark):
+    slides = spark.createDataFrame(
+        [("r", "k", n, family, "text", template) for n, family, template in ((1, "f", 1), (2, "f", 2), (3, "f", 9), (4, "g", 1), (5, "f", 3))],
+        "request_id string, deck_id string, number int, template_family_id string, template_class string, template_slide_number int",
+    )
+    families = spark.createDataFrame([("k", "f", n, "text") for n in (1, 2, 3)], "deck_id string, family_id string, slide_number int, slide_class string")
+    slots = spark.createDataFrame(
+        [("k", n, name, "text", True, 2, 9, [1]) for n, name in ((1, "a"), (1, "b"), (2, "a"), (2, None))],
+        "deck_id string, slide_number int, slot_id string, kind string, required boolean, capacity int, max_chars int, targets array<int>",
+    )
+    uses = spark.createDataFrame(
+        [("r", 1, "a", "cards", "clear", [1], 3, 12), ("r", 1, "b", "text", "replace", [2], None, None), ("r", 2, "a", "text", "replace", [1], 2, 9), ("r", 4, "a", "text", "clear", [1], 9, 99)],
+        "request_id string, number int, slot_id string, kind string, action string, targets array<int>, n_items long, longest int",
+    )
+    issues = G.catalog_cover(slides, families, slots, uses)
+    assert sorted((r.code, r.path) for r in issues.collect()) == [
+        ("capacity_exceeded", "slides[0].a"), ("catalog_mismatch", "slides[0].a"), ("catalog_mismatch", "slides[0].b"), ("catalog_mismatch", "slides[1].assignments"),
+        ("catalog_mismatch", "slides[2]"), ("catalog_mismatch", "slides[3]"), ("required_slot_cleared", "slides[0].a"), ("text_too_long", "slides[0].a"),
+    ]
+    assert "FullOuter" not in issues._jdf.queryExecution().sparkPlan().toString()
