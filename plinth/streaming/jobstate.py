@@ -1,7 +1,8 @@
 """Current states of jobs from a stream of their events, with state of constant size per job.
 
-The state of a job is its last event, the last progress reached, and a mark. An event that can still turn out to come
-after a cancellation is kept apart until the watermark has passed it, at most ``delay`` worth of events. A finished job
+The state of a job is its last event, the last progress reached, and a mark, in one value: a call to the state store costs
+more than the fold. An event that can still turn out to come after a cancellation is kept apart, at most ``delay`` worth
+of events, until a batch with rows of its job finds that the watermark has passed it; no timer is spent on it. A finished job
 is forgotten ``keep`` after its last event; its mark (cancelled where, closed) stays, so that a late event cannot bring
 it back. What can no longer be counted is not dropped: it comes out as a row of its own, the side output.
 """
@@ -16,8 +17,9 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 
 from plinth.operators.jobs import TERMINAL, event_progress
 
-JOB = "last_id long, stage string, reached_id long, reached int, last_at long, waiting array<struct<id:long,at:long,reached:int>>"
-MARK = "cut long, closed boolean"
+#: A closed job has its mark (``cut, closed``) only.
+JOB = "cut long, closed boolean, last_id long, stage string, reached_id long, reached int, last_at long, waiting array<struct<id:long,at:long,reached:int>>"
+NEW, CLOSED = (None, False, -1, None, -1, None, 0, []), (True, None, None, None, None, None, [])
 TOLD = "job_id string, status string, stage string, progress int, last_id long, late_id long, late_stage string"
 #: The arbitrary-state operators need this state store (``spark.sql.streaming.stateStore.providerClass``).
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,14 +34,13 @@ class JobStates(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", JOB)
-        self.mark = handle.getValueState("mark", MARK)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        cut, closed = self.mark.get() or (None, False)
-        last_id, stage, reached_id, reached, last_at, waiting = self.job.get() or (-1, None, -1, None, 0, [])
-        waiting = {e[0]: (e[1], e[2]) for e in waiting}
-        late, was = [], (cut, closed)
+        cut, closed, last_id, stage, reached_id, reached, last_at, held = self.job.get() or NEW
+        late, was = [], cut
+        if not closed:
+            reached_id, reached, waiting = self._settled(reached_id, reached, {e[0]: (e[1], e[2]) for e in held}, watermark)
         for row in rows:
             if closed:
                 late.append(row)
@@ -62,13 +63,11 @@ class JobStates(StatefulProcessor):
                 waiting = {i: e for i, e in waiting.items() if i <= cut}
                 if reached_id > cut:  # what came after it was settled before it arrived
                     late.append(row)
-        if was != (cut, closed):
-            self.mark.update((cut, closed))
-        if not closed:
-            reached_id, reached, waiting = self._settled(reached_id, reached, waiting, watermark)
-            self.job.update((last_id, stage, reached_id, reached, last_at, [(i, *e) for i, e in waiting.items()]))
-            if waiting:
-                self.handle.registerTimer(max(at for at, _ in waiting.values()) + 1)
+        if closed:
+            if was != cut:
+                self.job.update((cut, *CLOSED))
+        else:
+            self.job.update((cut, False, last_id, stage, reached_id, reached, last_at, [(i, *e) for i, e in waiting.items()]))
             if stage in TERMINAL:
                 self.handle.registerTimer(last_at + self.keep_ms)
             _, shown = max([(reached_id, reached), *((i, e[1]) for i, e in waiting.items())])
@@ -78,16 +77,9 @@ class JobStates(StatefulProcessor):
             yield Row(job_id=key[0], status=None, stage=None, progress=None, last_id=None, late_id=row["id"], late_stage=row["stage"])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        held, watermark = self.job.get(), timerValues.getCurrentWatermarkInMs()
-        if held is not None:
-            last_id, stage, reached_id, reached, last_at, waiting = held
-            if stage in TERMINAL and last_at + self.keep_ms <= watermark:
-                cut, _ = self.mark.get() or (None, False)
-                self.mark.update((cut, True))
-                self.job.clear()
-            else:
-                reached_id, reached, left = self._settled(reached_id, reached, {e[0]: (e[1], e[2]) for e in waiting}, watermark)
-                self.job.update((last_id, stage, reached_id, reached, last_at, [(i, *e) for i, e in left.items()]))
+        cut, closed, _, stage, _, _, last_at, _ = self.job.get() or NEW
+        if not closed and stage in TERMINAL and last_at + self.keep_ms <= timerValues.getCurrentWatermarkInMs():
+            self.job.update((cut, *CLOSED))
         return iter(())
 
     @staticmethod
@@ -107,7 +99,8 @@ def job_state(events: DataFrame, delay: str = "7 days", keep_days: float = 30.0)
     ``events``: ``job_id, id, stage, progress, done, total, created_at``. The state equals that of the batch form as long
     as no cancellation arrives more than ``delay`` after a later event; such a one still ends its job and is also
     reported as late, because progress told after it was counted. Repeated events have no effect. Rows without a job, an
-    id or a time are left out; jobs never finish by themselves, so an unfinished one is kept, at constant size.
+    id or a time are left out; jobs never finish by themselves, so an unfinished one is kept, at a size bounded by its events
+    of one ``delay``.
     """
     reached = event_progress(F.col("stage"), F.col("progress"), F.col("done"), F.col("total"))
     timed = events.filter("job_id IS NOT NULL AND id IS NOT NULL AND created_at IS NOT NULL").withWatermark("created_at", delay)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from plinth.operators.jobs import job_state
@@ -84,3 +85,36 @@ def test_a_stream_that_does_not_end_raises(spark):
     slow = F.udf(lambda x: __import__("time").sleep(20) or x, "long")
     with pytest.raises(TimeoutError):
         replay(spark.range(1), F.lit(0), told_to(shared_folder(spark, "slow"), lambda s: s.select(slow("id").alias("id")), "append"), 1, wait=2)
+
+
+class Store:
+    """A state store that counts the calls made to it."""
+
+    def __init__(self):
+        self.calls, self.held = [], None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+
+    def getCurrentWatermarkInMs(self):
+        return 5
+
+
+def test_an_unfinished_job_costs_one_read_and_one_write_a_batch():
+    store, states = Store(), jobstate.JobStates(1000)
+    states.init(store)
+    for at in (10, 20):
+        found = list(states.handleInputRows(("a",), iter([Row(id=at, stage="generating_slides", reached=at, at=at)]), store))
+        assert [(r.status, r.progress, r.last_id) for r in found] == [("processing", at, at)]
+    assert store.calls == ["get", "update"] * 2
