@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.operators import jobs as J
@@ -11,12 +12,12 @@ from plinth.streaming import jobstate, stored
 from plinth.streaming.replay import replay, told_to
 
 
-def jobs_of(t: Tables):
+def jobs_of(t: Tables, jobs: DataFrame | None = None):
     """Warnings in the derived table avoid braces; here they become JSON."""
     raw = F.replace(F.col("raw_warnings"), F.lit("`"), F.lit('"'))
     json = F.regexp_replace(raw, r'\[("code".*?)\]', "{$1}")
     full = F.when(F.startswith(json, F.lit("{")), F.concat(F.lit("["), json, F.lit("]"))).otherwise(json)
-    return t("jobs").withColumn("warnings", full).withColumn("plan_warnings", F.array("plan_warning"))
+    return (t("jobs") if jobs is None else jobs).withColumn("warnings", full).withColumn("plan_warnings", F.array("plan_warning"))
 
 
 @query("latest_job_per_template", r"""
@@ -116,7 +117,9 @@ WHERE j.status = 'processing' AND j.id NOT IN (SELECT job_id FROM {active_jobs})
   AND (queue = 'generation' OR (queue = 'template-analysis' AND stage IN ('validating', 'building_catalog')) OR (queue = 'template-enrichment' AND stage = 'enriching_visuals'))
 """)
 def _(t: Tables):
-    frames = [J.recover_jobs(jobs_of(t), t("active_jobs"), q).withColumn("queue", F.lit(q)) for q in J.QUEUE_TYPE]
+    jobs = jobs_of(t, t.dealt("jobs", "lineitem", orders="'j' || CAST(o_orderkey AS STRING)"))
+    active = t.dealt("active_jobs", "lineitem", lineitem="'j' || CAST(l_orderkey AS STRING)")
+    frames = [J.recover_jobs(jobs, active, q).withColumn("queue", F.lit(q)) for q in J.QUEUE_TYPE]
     return frames[0].unionByName(frames[1]).unionByName(frames[2]).select("queue", "id", "status", "stage", "system_resume_count")
 
 

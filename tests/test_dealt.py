@@ -8,7 +8,7 @@ from plinth.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["chart_table_inventory"])
+@pytest.mark.parametrize("name", ["chart_table_inventory", "recover_jobs"])
 def test_tasks_follow_rows(spark, monkeypatch, name):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     want = entry.queries()[name](spark, SF).count()
