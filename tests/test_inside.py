@@ -28,3 +28,11 @@ def test_names_are_found_in_the_row_of_the_text(spark):
     assert exchanges(got) <= 3
     want = {("q", k, f"name {k:04}") for k in range(4)} | {("q", k, "") for k in range(4)} | {("q", 3, "ab")}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_chunks_of_profiles_are_cut_once(spark):
+    profiles = spark.createDataFrame([("q", 1, "people", 0, "Anna", ["brief"], None)], "request_id string, number int, slot_id string, item_ix int, name string, source_refs array<string>, max_chars int")
+    sources = spark.range(2).selectExpr("'q' AS request_id", "'content_00' || id AS source_id", "CAST(id AS INT) AS seq", "'Anna has experience: marked; no ' || id AS text")
+    got = O.enrich_profiles(profiles, sources)
+    assert "marked" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.detail_ix, r.detail, r.source_id) for r in got.orderBy("detail_ix").collect()] == [(1, "Anna has experience: marked", "content_000"), (2, "Anna has experience: marked", "content_001")]
