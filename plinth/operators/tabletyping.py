@@ -314,35 +314,50 @@ def validate_assets(assets: DataFrame, cells: DataFrame, columns: DataFrame) ->
     ])
 
 
-def validate_diagrams(assets: DataFrame, nodes: DataFrame, edges: DataFrame, order: DataFrame) -> DataFrame:
+DIAGRAM_RULES = {
+    "duplicate_node_id": "diagram node ids must be unique",
+    "invalid_order": "diagram order must contain every node exactly once",
+    "unknown_edge_node": "diagram edge references an unknown node",
+    "unknown_parent": "diagram parent_id references an unknown node",
+}
+
+
+def validate_diagrams(assets: DataFrame, nodes: DataFrame, edges: DataFrame, order: DataFrame, tasks: int | None = None) -> DataFrame:
     """``nodes``: ``asset_id, node_ix, id, parent_id``; ``edges``: ``asset_id, source, target``;
-    ``order``: ``asset_id, order_ix, id`` (may hold no rows for an asset)."""
-    known = nodes.select("asset_id", "id").distinct()
-    owners = assets.select("request_id", "asset_id", "kind", "hint_mode", "hint_kind")
-
-    def rule(df: DataFrame, code: str, message: str) -> DataFrame:
-        return _dataset_issue(df.select("asset_id").distinct().join(owners, "asset_id"), code, F.lit(message))
-
-    repeated = nodes.groupBy("asset_id", "id").count().filter("count > 1")
-    ends = edges.select("asset_id", F.explode(F.array("source", "target")).alias("id"))
-    parents = nodes.filter("parent_id is not null").select("asset_id", F.col("parent_id").alias("id"))
-    ordered = order.select("asset_id").distinct()
-    not_ordered = known.join(ordered, "asset_id", "left_semi").join(order, ["asset_id", "id"], "left_anti")
-    bad_order = union_all([
-        df.select("asset_id")
-        for df in (
-            order.join(known, ["asset_id", "id"], "left_anti"),
-            not_ordered,
-            order.groupBy("asset_id", "id").count().filter("count > 1"),
-        )
-    ])
-    forced = owners.filter("kind = 'diagram' and hint_mode = 'force' and hint_kind <> 'diagram'")
+    ``order``: ``asset_id, order_ix, id`` (may hold no rows for an asset).
+
+    All uses of an id are counted together, then the ids of an asset. ``tasks``: into how many tasks both are dealt; it should
+    follow the rows, so that what a task holds does not.
+    """
+    def dealt(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(tasks, *keys) if tasks else df
+
+    owners = dealt(assets.select("request_id", "asset_id", "kind", "hint_mode", "hint_kind"), "asset_id")
+    uses = {
+        "n_node": nodes.select("asset_id", "id"),
+        "n_end": edges.select("asset_id", F.explode(F.array("source", "target")).alias("id")),
+        "n_parent": nodes.filter("parent_id is not null").select("asset_id", F.col("parent_id").alias("id")),
+        "n_order": order.select("asset_id", "id"),
+    }
+    told = dealt(union_all([df.select("asset_id", "id", F.lit(use).alias("use")) for use, df in uses.items()]), "asset_id", "id")
+    by_id = told.groupBy("asset_id", "id").agg(*[F.count_if(F.col("use") == use).alias(use) for use in uses])
+    # An id without a value equals none.
+    known, placed = (F.col("id").isNotNull() & (F.col(n) > 0) for n in ("n_node", "n_order"))
+    unplaced = F.bool_or((F.col("n_node") > 0) & ~placed) & F.bool_or(F.col("n_order") > 0)
+    broken = {
+        "duplicate_node_id": F.bool_or(F.col("n_node") > 1),
+        "invalid_order": unplaced | F.bool_or((F.col("n_order") > 1) | ((F.col("n_order") > 0) & ~known)),
+        "unknown_edge_node": F.bool_or((F.col("n_end") > 0) & ~known),
+        "unknown_parent": F.bool_or((F.col("n_parent") > 0) & ~known),
+    }
+    codes = F.array_compact(F.array(*[F.when(F.col(code), F.lit(code)) for code in broken]))
+    by_asset = dealt(by_id, "asset_id").groupBy("asset_id").agg(*[test.alias(code) for code, test in broken.items()])
+    found = by_asset.select("asset_id", F.explode(codes).alias("code")).join(owners, "asset_id")
+    message = F.create_map(*[F.lit(x) for rule in DIAGRAM_RULES.items() for x in rule])[F.col("code")]
+    forced = owners.filter("kind = 'diagram' and hint_mode = 'force' and hint_kind <> 'diagram'").select("asset_id").distinct()
     return union_all([
-        rule(repeated, "duplicate_node_id", "diagram node ids must be unique"),
-        rule(bad_order, "invalid_order", "diagram order must contain every node exactly once"),
-        rule(ends.join(known, ["asset_id", "id"], "left_anti"), "unknown_edge_node", "diagram edge references an unknown node"),
-        rule(parents.join(known, ["asset_id", "id"], "left_anti"), "unknown_parent", "diagram parent_id references an unknown node"),
-        rule(forced, "forced_kind_not_allowed", "diagram asset can only force diagram visualization"),
+        _dataset_issue(found, F.col("code"), message),
+        _dataset_issue(forced.join(owners, "asset_id"), "forced_kind_not_allowed", F.lit("diagram asset can only force diagram visualization")),
     ])
 
 

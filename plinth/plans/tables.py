@@ -226,7 +226,8 @@ WITH known AS (SELECT DISTINCT asset_id, id FROM {diagram_nodes}),
 SELECT a.request_id, f.code, 'structured_assets[' || f.asset_id || ']' AS path FROM found f JOIN {diagram_assets} a ON a.asset_id = f.asset_id
 """)
 def _(t: Tables):
-    found = T.validate_diagrams(t("diagram_assets"), t("diagram_nodes"), t("diagram_edges"), t("diagram_order"))
+    t, tasks = t.dealing("lineitem", lineitem="l_orderkey", orders="o_orderkey")
+    found = T.validate_diagrams(t("diagram_assets"), t("diagram_nodes"), t("diagram_edges"), t("diagram_order"), tasks)
     return found.select("request_id", "code", "path")
 
 
