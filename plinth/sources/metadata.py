@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.scalars import strip
 from plinth.issues import union_all
-from plinth.session import cut_lineage
+from plinth.session import set_down
 
 # Fixed values.
 MANIFEST_VERSION = "3.0"
@@ -89,7 +89,7 @@ def shapes_of(slides: DataFrame) -> DataFrame:
             *keys, (F.col("in_group") | (F.col("e.type") == "group")).alias("in_group"), F.col("e.shape_id").alias("parent_shape_id"), path.alias("path"),
             F.posexplode(F.from_json("e.children", f"array<{ELEMENT}>")).alias("pos", "e"),
         )
-        level = cut_lineage(inside)
+        level = set_down(inside)
         if level.isEmpty():
             return union_all(frames).select("*", "box.*").drop("box")
 
