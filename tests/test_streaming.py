@@ -118,3 +118,21 @@ def test_an_unfinished_job_costs_one_read_and_one_write_a_batch():
         found = list(states.handleInputRows(("a",), iter([Row(id=at, stage="generating_slides", reached=at, at=at)]), store))
         assert [(r.status, r.progress, r.last_id) for r in found] == [("processing", at, at)]
     assert store.calls == ["get", "update"] * 2
+
+
+def test_jobs_of_a_bucket_share_a_read_and_a_write():
+    store, states = Store(), jobstate.JobStates(1000)
+    states.init(store)
+    for at in (10, 20):
+        told = [Row(job_id=job, id=at + k, stage="generating_slides", reached=at + k, at=at) for k, job in enumerate("abc")]
+        found = list(states.handleInputRows((7,), iter(told), store))
+        assert [(r.job_id, r.status, r.progress, r.last_id) for r in found] == [(job, "processing", at + k, at + k) for k, job in enumerate("abc")]
+    assert store.calls == ["get", "update"] * 2
+
+
+def test_few_buckets_tell_what_many_do(spark):
+    events = events_of(spark, rows() + rows()[:9])
+    arrival = F.unix_seconds("created_at") + F.pmod(F.xxhash64("id"), F.lit(9 * DAY))
+    few, many = (told(spark, events, arrival, 4, delay="1 day", keep_days=2, buckets=n).drop("batch") for n in (2, 4096))
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
+    assert few.filter("late_id IS NOT NULL").count() > 0
