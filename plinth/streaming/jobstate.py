@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -24,9 +25,10 @@ from plinth.operators.jobs import TERMINAL, event_progress
 #: one ``[cut, true]``; and the time of the bucket's timer.
 BUCKET = "jobs string, due long"
 #: Values of the store that the jobs of a stream share; fixed by the first run over a checkpoint.
-BUCKETS = 4096
+BUCKETS = 1024
 NEW = [None, False, -1, None, -1, None, 0, []]
 TOLD = "job_id string, status string, stage string, progress int, last_id long, late_id long, late_stage string"
+TOLD_NAMES = [f.split()[0] for f in TOLD.split(", ")]
 #: The arbitrary-state operators need this state store (``spark.sql.streaming.stateStore.providerClass``).
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -43,12 +45,15 @@ class JobStates(StatefulProcessor):
         self.bucket = handle.getValueState("bucket", BUCKET)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        jobs, due = self._read()
         events: dict[str, list] = {}
         for row in rows:
             job_id = row["job_id"] if "job_id" in row else key[0]
             events.setdefault(job_id, []).append((row["id"], row["stage"], row["reached"], row["at"]))
+        yield from (Row(**dict(zip(TOLD_NAMES, told, strict=True))) for told in self._met(events, timerValues.getCurrentWatermarkInMs()))
+
+    def _met(self, events: dict[str, list], watermark: int) -> list[tuple]:
+        """Folds events (``id, stage, reached, at``) by job into the bucket; what there is to tell."""
+        jobs, due = self._read()
         told = []
         for job_id, own in events.items():
             state = jobs.get(job_id, NEW)
@@ -58,10 +63,10 @@ class JobStates(StatefulProcessor):
                 jobs[job_id], late, shown = self._folded(state, own, watermark)
                 stage = jobs[job_id][3]
                 status = stage if stage in TERMINAL else "queued" if stage == "resuming" else "processing"
-                told.append(Row(job_id=job_id, status=status, stage=stage, progress=0 if shown is None else shown, last_id=jobs[job_id][2], late_id=None, late_stage=None))
-            told += [Row(job_id=job_id, status=None, stage=None, progress=None, last_id=None, late_id=i, late_stage=stage) for i, stage in late]
+                told.append((job_id, status, stage, 0 if shown is None else shown, jobs[job_id][2], None, None))
+            told += [(job_id, None, None, None, None, i, stage) for i, stage in late]
         self._write(jobs, due, events)
-        yield from told
+        return told
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
@@ -130,6 +135,22 @@ class JobStates(StatefulProcessor):
         pass
 
 
+class JobColumns(JobStates):
+    """The same over columns: what a batch brings for a bucket, and what it tells, are not taken apart into rows on the way."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        events: dict[str, list] = {}
+        for part in rows:
+            reached = [None if v is None or v != v else int(v) for v in part["reached"].tolist()]
+            for job_id, *event in zip(part["job_id"].tolist(), part["id"].tolist(), part["stage"].tolist(), reached, part["at"].tolist(), strict=True):
+                events.setdefault(job_id, []).append(event)
+        told = self._met(events, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame(told, columns=TOLD_NAMES, dtype=object)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+
 def job_state(events: DataFrame, delay: str = "7 days", keep_days: float = 30.0, buckets: int = BUCKETS) -> DataFrame:
     """``TOLD`` rows in update mode: the state of every job that a batch touches, and late events (``late_id`` not null).
 
@@ -143,7 +164,7 @@ def job_state(events: DataFrame, delay: str = "7 days", keep_days: float = 30.0,
     timed = events.filter("job_id IS NOT NULL AND id IS NOT NULL AND created_at IS NOT NULL").withWatermark("created_at", delay)
     # As a plain number the time is no watermark column, so late events reach the processor.
     told = timed.select("job_id", "id", "stage", reached.alias("reached"), F.unix_millis("created_at").alias("at"), F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int").alias("bucket"))
-    return told.groupBy("bucket").transformWithState(JobStates(int(keep_days * 86_400_000)), TOLD, "update", "eventTime")
+    return told.groupBy("bucket").transformWithStateInPandas(JobColumns(int(keep_days * 86_400_000)), TOLD, "update", "eventTime")
 
 
 def latest_states(told: DataFrame) -> DataFrame:
