@@ -2,12 +2,14 @@
 
 import glob
 import os
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from plinth.operators import planning as P
 from plinth.session import in_turn, set_down
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +48,15 @@ def test_rows_are_kept_and_shuffles_freed(spark):
     assert held.columns == df.columns
     assert sorted(map(tuple, held.collect())) == sorted(map(tuple, df.collect()))
     assert in_turn([df, df.limit(0), df]).count() == 80_000
+
+
+def test_words_that_no_purpose_names_are_not_shuffled(spark):
+    rng = random.Random(5)
+    texts = [(f"r{i}", " ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(8_000)) + " zebra photo.png", "") for i in range(4)]
+    requests = spark.createDataFrame(texts, "request_id string, brief string, content_package string")
+    images = spark.createDataFrame([(f"r{i}", "i0", "photo.png") for i in range(4)], "request_id string, id string, original_name string")
+    slides = spark.createDataFrame([(f"r{i}", 1, "zebra xylophone") for i in range(4)], "request_id string, number int, purpose string")
+    before = shuffled(spark)
+    found = P.identity_distances(requests, images, slides).collect()
+    assert sorted((r.request_id, r.nearness) for r in found) == [(f"r{i}", 6 - P.FAR_NAME) for i in range(4)]
+    assert sum(os.path.getsize(f) for f in shuffled(spark) - before) < 50_000
