@@ -1,8 +1,10 @@
 """Office files read element by element, whole and by sheet."""
 
 import io
+import pickle
 import subprocess
 import sys
+import tracemalloc
 import zipfile
 
 import pytest
@@ -83,3 +85,20 @@ def test_large_workbook_in_bounded_memory(tmp_path):
     cells_read, grown_mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
     assert cells_read == 600_000
     assert grown_mb < 100
+
+
+def test_a_plan_holds_few_bytes_a_file(tmp_path):
+    for k in range(6_000):
+        (tmp_path / f"d{k}.docx").touch()
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "é.DOCX").touch()
+    (tmp_path / "more" / "x.txt").touch()
+    reader = office.OfficeReader({"path": str(tmp_path), "kinds": "docx"})
+    tracemalloc.start()
+    parts = reader.partitions()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    found = sorted(path for part in pickle.loads(pickle.dumps(parts)) for path, only in part.files if only is None)
+    assert found == sorted([*(f"{tmp_path}/d{k}.docx" for k in range(6_000)), f"{tmp_path}/more/é.DOCX"])
+    assert len(pickle.dumps(parts)) < 20 * 6_000
+    assert held < 30 * 6_000
