@@ -31,7 +31,7 @@ def left_over(spark, before, most):
     return left
 
 
-@pytest.mark.parametrize("name", ["preflight_build", "validate_plan", "compile_render_ops", "merge_overlapping_groups", "remap_pages", "canonicalize_plan"])
+@pytest.mark.parametrize("name", ["preflight_build", "validate_plan", "compile_render_ops", "merge_overlapping_groups", "remap_pages", "canonicalize_plan", "ground_assets"])
 def test_intermediates_of_a_query_leave_no_shuffle_files(spark, name):
     before = shuffled(spark)
     found = entry.queries()[name](spark, SF)
